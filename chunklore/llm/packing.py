@@ -33,14 +33,14 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_
     path, end = tokenizer_path(tokenizer), int(end_id).to_bytes(4, "little")
 
     def cut(batches):
-        from .wordcache import cache
+        from .wordcache import encoder
 
-        words = cache(path, True)
+        encode = encoder(path)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids")}
             for at in range(0, len(keys), 64):
-                for key, ids in zip(keys[at : at + 64], words.ids(texts.slice(at, 64).to_pylist()), strict=True):
+                for key, ids in zip(keys[at : at + 64], encode(texts.slice(at, 64).to_pylist()), strict=True):
                     ids += end
                     for piece, start in enumerate(range(0, len(ids), 4 * seq_len)):
                         part = ids[start : start + 4 * seq_len]

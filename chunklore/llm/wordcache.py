@@ -7,6 +7,7 @@ has met; parts not in it, and texts where the cut isn't certain, go to the libra
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 
@@ -98,10 +99,29 @@ class WordCache:
         return out
 
 
-_caches: dict[tuple[str, bool], WordCache] = {}
-
-
-def cache(path: str, blanks_dropped: bool) -> WordCache:
-    if (path, blanks_dropped) not in _caches:
-        _caches[path, blanks_dropped] = WordCache(path, blanks_dropped)
-    return _caches[path, blanks_dropped]
+_caches: dict[str, object] = {}
+
+
+def encoder(path: str):
+    """A function from a list of whole texts to their ids as little-endian unsigned 32-bit bytes: what the library of that kind of file gives."""
+    if path in _caches:
+        return _caches[path]
+    if path.endswith(".model"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        found = lambda texts: [struct.pack(f"<{len(x)}I", *x) for x in model.encode(texts, num_threads=1)]
+    else:
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        before, normal = made.get("pre_tokenizer") or {}, made.get("normalizer")
+        plain = made["model"]["type"] == "BPE" and not made["model"].get("dropout") and not made.get("truncation") and not made.get("padding")
+        if plain and normal is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space"):
+            found = WordCache(path, False).ids
+        elif plain and json.dumps(before.get("pretokenizers", [{}])[0]).find('"Removed", "invert": true') > 0 and {"Lowercase"} < {x["type"] for x in (normal or {}).get("normalizers", [])} <= {"NFC", "Replace", "Lowercase"}:
+            found = WordCache(path, True).ids
+        else:
+            tokenizer = load(path)
+            found = lambda texts: [packed(e) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    _caches[path] = found
+    return found
