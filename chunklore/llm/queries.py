@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +22,58 @@ def op1_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(digests)
 
 
+def op2_digest_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, through a cache that starts empty: so the query's work is the whole table's."""
+    from . import tokencounts
+    from .common import shared_dir
+
+    cache = f"{shared_dir(spark)}/chunklore/token-counts-{uuid.uuid4().hex}"
+    return tokencounts.token_counts(table(spark, sf_dir, "documents"), cache)
+
+
+#: The rules of op8: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, deciding rule and verdict of every page."""
+    from . import urlfilter
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.url_verdicts(table(spark, sf_dir, "pages"), rules)
+
+
+OP8_SQL = f"""
+WITH rules(host, path, verdict) AS (VALUES {", ".join(map(str, URL_RULES))}),
+rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (
+  SELECT page_id, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path,
+    translate(regexp_extract(r, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+  FROM rest)
+SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN (
+  SELECT u.host, u.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM parts) u
+  JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+  GROUP BY ALL) b ON p.host = b.host AND p.path = b.path
+"""
+
+
+def op10_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    from . import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pattern_packing,
+        op2_digest_token_counts,
+        op8_url_rules,
+        op10_simhash_ball,
     )
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_url_rules": OP8_SQL}
