@@ -10,11 +10,15 @@ from __future__ import annotations
 import json
 import os
 import struct
+from unicodedata import is_normalized
 
 #: Parts and stems that a worker remembers at most, and the characters of both.
 KEEP, KEEP_CHARS = 600_000, 16_000_000
-#: Before these a word of letters surely ends, and they are never the start of a contraction.
-MARKS = ",.;:!?"
+#: ASCII marks but the apostrophe: a word of letters surely ends before them.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The characters that byte-level vocabularies show bytes by: printable ones for themselves, the rest from 256 on.
+_plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _plain)}
 
 _loaded: dict[str, object] = {}
 
@@ -57,22 +61,38 @@ class WordCache:
             self.known.clear()
             self.stems.clear()
             self.chars, fresh = 0, parts
-        cut = {}
+        known, stems, tokenize, slow = self.known, self.stems, self.tokenizer.model.tokenize, []
+        dropped, lead = self.blanks_dropped, 0 if self.blanks_dropped else 1
         for p in fresh:
-            if not self.blanks_dropped and not ((w := p[1:]) and w.strip() == w):
+            if lead and not ((w := p[1:]) and w.strip() == w):
+                known[p] = None
                 continue
             stem = p.rstrip(MARKS)
-            if len(stem) == len(p) or not stem[-1:].isalpha():
-                stem = p
-            # such a vocabulary has lower case alone; only for ASCII is Python's lower case surely the library's
-            cut[p] = (stem.lower() if self.blanks_dropped and stem.isascii() else stem), p[len(stem) :]
-        new = [x for x in {y for pair in cut.values() for y in pair} if x not in self.stems]
-        self.stems.update(zip(new, map(packed, self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-        if len(cut) < len(fresh):
-            self.known.update(dict.fromkeys(fresh))
-        self.known.update((p, self.stems[s] + self.stems[t]) for p, (s, t) in cut.items())
-        self.chars += sum(map(len, fresh)) + sum(map(len, new))
-        return self.known
+            if not stem[-1:].isalpha():
+                slow.append(p)
+                continue
+            tail = p[len(stem) :]
+            if dropped and stem.isascii():  # for ASCII alone Python's lower case is surely the library's
+                stem = stem.lower()
+            if (ids := stems.get(stem)) is None:
+                # one run of letters, as the library's own steps leave it: its bytes go to the merges straight
+                letters = stem[lead:]
+                if letters.isalpha() and (letters.isascii() or not dropped or (letters == letters.lower() and is_normalized("NFC", letters))):
+                    shown = stem if dropped and letters.isascii() else stem.encode().decode("latin-1").translate(SHOWN)
+                    got = tokenize(shown)
+                    ids = struct.pack(f"<{len(got)}I", *[t.id for t in got])
+                else:
+                    ids = packed(self.tokenizer.encode(stem, add_special_tokens=False))
+                stems[stem] = ids
+            if tail:
+                if (more := stems.get(tail)) is None:
+                    more = stems[tail] = packed(self.tokenizer.encode(tail, add_special_tokens=False))
+                ids += more
+            known[p] = ids
+        if slow:
+            known.update(zip(slow, map(packed, self.tokenizer.encode_batch_fast(slow, add_special_tokens=False)), strict=True))
+        self.chars += 2 * sum(map(len, fresh))
+        return known
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each whole text."""
