@@ -31,6 +31,35 @@ def op2_digest_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(table(spark, sf_dir, "documents"), cache)
 
 
+def op4_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines, those removed as repeated chunks, and the digest of what stays."""
+    from . import linededup
+
+    out = linededup.without_repeated_chunks(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM lines),
+rolled AS (
+  SELECT *, (h + 31337 * lag(h, 1, 0) OVER w + 31337 * 31337 * lag(h, 2, 0) OVER w) % 2147483647 % 3 = 0 AS stop
+  FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (
+  SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM rolled),
+chunks AS (
+  SELECT doc_id, place, count(*) AS n_lines, count(*) FILTER (regexp_matches(line, '[^ \t\n\x0B\f\r]')) AS n_full,
+    string_agg(line, chr(10) ORDER BY i) AS chunk
+  FROM numbered GROUP BY ALL),
+judged AS (
+  SELECT *, n_full >= 2 AND row_number() OVER (PARTITION BY n_full >= 2, chunk ORDER BY doc_id, place) > 1 AS gone FROM chunks)
+SELECT doc_id, sum(n_lines)::BIGINT AS n_lines, coalesce(sum(n_lines) FILTER (gone), 0)::BIGINT AS n_removed_lines,
+  count(*) FILTER (gone) AS n_removed_chunks, sha256(coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
 #: The rules of op8: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -71,9 +100,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_pattern_packing,
         op2_digest_token_counts,
+        op4_line_chunk_dedup,
         op8_url_rules,
         op10_simhash_ball,
     )
 }
 
-ORACLE: dict[str, str] = {"op8_url_rules": OP8_SQL}
+ORACLE: dict[str, str] = {"op4_line_chunk_dedup": OP4_SQL, "op8_url_rules": OP8_SQL}
