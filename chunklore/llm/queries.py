@@ -88,6 +88,15 @@ FROM parts p LEFT JOIN (
 """
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document whether it holds passages of the benchmark, and the items."""
+    from . import decontaminate
+
+    found = decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.transform("benchmark_hits", lambda x: x["item_id"])
+    return found.select("doc_id", "benchmark_hits", ids.alias("item_ids")).select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").alias("n_items"), "item_ids", F.array_max(F.transform("benchmark_hits", lambda x: x["similarity"])).alias("similarity"))
+
+
 def op10_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     from . import simhash
@@ -102,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_digest_token_counts,
         op4_line_chunk_dedup,
         op8_url_rules,
+        op9_benchmark_decontamination,
         op10_simhash_ball,
     )
 }
