@@ -52,14 +52,14 @@ class WordCache:
     def whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False))
 
-    def learn(self, parts: set[str]) -> dict[str, bytes]:
+    def learn(self, parts: set[str]) -> dict[str, bytes | None]:
         """Ids of these parts, and of others. A part is None where its cut isn't certain."""
         fresh: set[str] | list[str] = [p for p in parts if p not in self.known]
         if not fresh:
             return self.known
         if max(len(self.known), len(self.stems)) + len(fresh) > KEEP or self.chars > KEEP_CHARS:
-            self.known.clear()
-            self.stems.clear()
+            self.known = {}
+            self.stems = {}
             self.chars, fresh = 0, parts
         known, stems, tokenize, slow = self.known, self.stems, self.tokenizer.model.tokenize, []
         dropped, lead = self.blanks_dropped, 0 if self.blanks_dropped else 1
@@ -94,28 +94,25 @@ class WordCache:
         self.chars += 2 * sum(map(len, fresh))
         return known
 
+    def found(self, parts: list[str]) -> list[bytes | None]:
+        got = list(map(self.known.get, parts))
+        if None in got:
+            known = self.learn({p for p, ids in zip(parts, got, strict=True) if ids is None})
+            got = [known[p] if ids is None else ids for p, ids in zip(parts, got, strict=True)]
+        return got
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each whole text."""
-        cut: list[list[str] | None] = []
+        out = []
         for text in texts:
             if "<|" in text:
-                cut.append(None)
+                out.append(self.whole(text))
             elif self.blanks_dropped:
-                cut.append(text.replace("\n", " ").split(" "))
+                out.append(b"".join(self.found(text.replace("\n", " ").split(" "))))
             else:
                 first, *parts = text.split(" ")
-                cut.append([first, *[" " + p for p in parts]] if first[-1:].strip() else None)
-        at = not self.blanks_dropped  # where the cached parts start
-        known = self.learn({p for parts in cut if parts for p in parts[at:]})
-        out = []
-        for text, parts in zip(texts, cut, strict=True):
-            if parts is None:
-                out.append(self.whole(text))
-            elif at:
-                got = [known[p] for p in parts[1:]]
-                out.append(self.whole(text) if None in got else b"".join([self.whole(parts[0]), *got]))
-            else:
-                out.append(b"".join(map(known.__getitem__, parts)))
+                got = self.found([" " + p for p in parts]) if first[-1:].strip() else [None]
+                out.append(self.whole(text) if None in got else b"".join([self.whole(first), *got]))
         return out
 
 
