@@ -59,18 +59,19 @@ def without_repeated_chunks(docs: DataFrame, divisor: int = 3, min_lines: int =
     of those names; others, whatever their names, pass through. An empty table gives no rows.
     """
     own = docs.columns
-    rows = docs.select(F.struct(*[docs[c] for c in own]).alias("row"), docs[id_col].alias("id"), docs[text_col].cast("string").alias("body")).withColumn("mark", F.xxhash64("body"))
-    listed = rows.select("id", "mark", F.posexplode(chunks_of(F.col("body"), divisor)).alias("place", "c"))
+    rows = docs.select(F.struct(*[docs[c] for c in own]).alias("row"), docs[id_col].alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("mark"))
+    body = F.col("row").getField(text_col).cast("string")
+    listed = rows.select("id", "mark", F.posexplode(chunks_of(body, divisor)).alias("place", "c"))
     listed = listed.filter(F.col("c.n_full") >= min_lines).select("id", "mark", "place", F.unhex(F.sha2("c.chunk", 256)).alias("digest"))
     listed = written(listed.distinct(), "line-chunks")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark", "place")).alias("first")
     again = written(listed.groupBy("digest").agg(F.count("*").alias("n"), first).filter("n > 1").drop("n"), "repeated-chunks")
     later = listed.join(again, "digest").select("id", "mark", "place", "digest", (F.struct(F.col("id").isNull().alias("no_id"), "id", "mark", "place") == F.col("first")).alias("stays"))
     per_doc = later.groupBy("id", "mark").agg(F.collect_list(F.struct("place", "digest", "stays")).alias("marks"))  # no longer than the document
-    joined = rows.alias("r").join(per_doc.alias("p"), F.col("r.id").eqNullSafe(F.col("p.id")) & (F.col("r.mark") == F.col("p.mark")), "left").select("row", "body", "marks")
+    joined = rows.alias("r").join(per_doc.alias("p"), F.col("r.id").eqNullSafe(F.col("p.id")) & (F.col("r.mark") == F.col("p.mark")), "left").select("row", "marks")
     joined = written(joined, "marked-documents")
     # byte comparison: of all chunks of one digest the smallest and the largest must be the same bytes
-    candidates = joined.filter("marks IS NOT NULL").select(chunks_of(F.col("body"), divisor).alias("chunks"), F.explode("marks").alias("m")).select("m.digest", F.get(F.col("chunks"), F.col("m.place"))["chunk"].alias("chunk"))
+    candidates = joined.filter("marks IS NOT NULL").select(chunks_of(body, divisor).alias("chunks"), F.explode("marks").alias("m")).select("m.digest", F.get(F.col("chunks"), F.col("m.place"))["chunk"].alias("chunk"))
     bounds = candidates.groupBy("digest").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"))
     unequal = written(bounds.filter("least <> most").select("digest"), "unequal-chunks")
     if not unequal.isEmpty():  # digests that stand for different bytes: such chunks stay
@@ -79,12 +80,12 @@ def without_repeated_chunks(docs: DataFrame, divisor: int = 3, min_lines: int =
         kept = marked.select("key", F.explode("marks").alias("m")).join(unequal.withColumnRenamed("digest", "bad"), F.col("m.digest") == F.col("bad"), "left_anti").groupBy("key").agg(F.collect_list("m").alias("marks"))
         joined = marked.drop("marks").join(kept, "key", "left").drop("key")
     gone = F.coalesce(F.transform(F.filter("marks", lambda m: ~m["stays"]), lambda m: m["place"]), F.array().cast("array<int>"))
-    out = joined.select("row", "body", gone.alias("gone"), chunks_of(F.col("body"), divisor).alias("chunks"))
+    out = joined.select("row", gone.alias("gone"), chunks_of(body, divisor).alias("chunks"))
     left = F.filter("chunks", lambda c, i: ~F.array_contains("gone", i))
-    text = F.when(F.col("body").isNull(), None).when(F.size("gone") == 0, F.col("body")).otherwise(F.array_join(F.transform(left, lambda c: c["chunk"]), "\n"))
+    text = F.when(body.isNull(), None).when(F.size("gone") == 0, body).otherwise(F.array_join(F.transform(left, lambda c: c["chunk"]), "\n"))
     count = lambda chunks: F.aggregate(chunks, F.lit(0).cast("long"), lambda n, c: n + c["n_lines"])
     added = {
-        "n_lines": F.when(F.col("body").isNull(), F.lit(0).cast("long")).otherwise(count(F.col("chunks"))),
+        "n_lines": F.when(body.isNull(), F.lit(0).cast("long")).otherwise(count(F.col("chunks"))),
         "n_removed_lines": count(F.filter("chunks", lambda c, i: F.array_contains("gone", i))),
         "n_removed_chunks": F.size("gone").cast("long"),
     }
