@@ -60,6 +60,13 @@ SELECT doc_id, sum(n_lines)::BIGINT AS n_lines, coalesce(sum(n_lines) FILTER (go
 FROM judged GROUP BY doc_id
 """
 
+def op7_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures, what the vocabularies measured, and the verdict on every document."""
+    from . import fertility
+
+    return fertility.fertility_rules(table(spark, sf_dir, "documents"))
+
+
 #: The rules of op8: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
@@ -110,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_pattern_packing,
         op2_digest_token_counts,
         op4_line_chunk_dedup,
+        op7_tokenizer_fertility,
         op8_url_rules,
         op9_benchmark_decontamination,
         op10_simhash_ball,

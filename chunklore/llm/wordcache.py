@@ -44,10 +44,10 @@ class WordCache:
     with its blank, and only a single blank between two other characters is a certain cut.
     """
 
-    def __init__(self, path: str, blanks_dropped: bool):
+    def __init__(self, path: str, blanks_dropped: bool, keep: int = KEEP):
         self.tokenizer, self.blanks_dropped, self.known = load(path), blanks_dropped, {}
         self.stems: dict[str, bytes] = {}
-        self.chars = 0
+        self.chars, self.keep = 0, keep
 
     def whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False))
@@ -57,7 +57,7 @@ class WordCache:
         fresh: set[str] | list[str] = [p for p in parts if p not in self.known]
         if not fresh:
             return self.known
-        if max(len(self.known), len(self.stems)) + len(fresh) > KEEP or self.chars > KEEP_CHARS:
+        if max(len(self.known), len(self.stems)) + len(fresh) > self.keep or self.chars > KEEP_CHARS:
             self.known = {}
             self.stems = {}
             self.chars, fresh = 0, parts

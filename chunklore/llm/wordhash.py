@@ -6,6 +6,8 @@ import numpy as np
 
 #: Bytes of a word: ASCII letters, digits, the underscore, and all of a character outside ASCII.
 WORD = np.array([b >= 0x80 or chr(b).isalnum() or b == 0x5F for b in range(256)])
+#: Bytes of a word that ends at the ASCII blanks 20 and 09 to 0D alone.
+UNBLANK = np.array([b not in b" \t\n\v\f\r" for b in range(256)])
 #: Bytes hashed at a time, so that a very long text needs no more memory than its words do.
 STEP = 1 << 20
 
@@ -21,16 +23,16 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash) of every word in the bytes."""
+def words(data: bytes, of: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash) of every word in the bytes; ``of`` says of each byte whether words have it."""
     every, found = np.frombuffer(data, np.uint8), []
     at = 0
     while at < len(every):
         to = min(at + STEP, len(every))
-        while to < len(every) and WORD[every[to - 1]] and WORD[every[to]]:  # never within a word
+        while to < len(every) and of[every[to - 1]] and of[every[to]]:  # never within a word
             to += 1
         part = every[at:to]
-        is_word = WORD[part]
+        is_word = of[part]
         edge = np.flatnonzero(np.diff(is_word, prepend=False, append=False))
         start, end = edge[::2], edge[1::2]
         if len(start):
