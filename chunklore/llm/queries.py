@@ -31,6 +31,13 @@ def op2_digest_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.token_counts(table(spark, sf_dir, "documents"), cache)
 
 
+def op3_line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    from . import linecrf
+
+    return linecrf.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's lines, those removed as repeated chunks, and the digest of what stays."""
     from . import linededup
@@ -60,6 +67,13 @@ SELECT doc_id, sum(n_lines)::BIGINT AS n_lines, coalesce(sum(n_lines) FILTER (go
 FROM judged GROUP BY doc_id
 """
 
+def op5_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    from . import langid
+
+    return langid.predicted_languages(table(spark, sf_dir, "documents"))
+
+
 def op7_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures, what the vocabularies measured, and the verdict on every document."""
     from . import fertility
@@ -116,7 +130,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_pattern_packing,
         op2_digest_token_counts,
+        op3_line_crf_quality,
         op4_line_chunk_dedup,
+        op5_bigru_language,
         op7_tokenizer_fertility,
         op8_url_rules,
         op9_benchmark_decontamination,
