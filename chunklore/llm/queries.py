@@ -74,6 +74,14 @@ def op5_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted_languages(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes removed from every document and the digest of those that stay."""
+    from . import repeats
+
+    out = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures, what the vocabularies measured, and the verdict on every document."""
     from . import fertility
@@ -133,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_line_crf_quality,
         op4_line_chunk_dedup,
         op5_bigru_language,
+        op6_suffix_array_repeats,
         op7_tokenizer_fertility,
         op8_url_rules,
         op9_benchmark_decontamination,
