@@ -5,7 +5,9 @@ A shared string of ``length`` bytes shares the smallest hash of its 16-byte gram
 holds the distinct segments of its hashes with the smallest document of each; their suffix array and permuted common prefixes give
 every start the smallest document that has its string. Copies meet as one segment before any sorting.
 
-Documents are numbered into small groups once and written, and all that is sent back is addressed to a group.
+Before that, content-defined chunks of which a smaller document has all bytes are settled by their digests, so that copies cost neither segments nor
+sorting: the smallest document with a string is never in such a chunk. Documents are numbered into small groups once and
+written, and all that is sent back is addressed to a group.
 """
 
 from __future__ import annotations
@@ -24,28 +26,54 @@ from .wordhash import mixed
 #: Bytes of a gram; bytes of text hashed at a time; most of a long text in one piece; most in one suffix array unless one hash has more.
 GRAM, BLOCK, PIECE, SHARD = 16, 1 << 18, 1 << 20, 1 << 21
 NO_ID = (1 << 63) - 1
-BLOBS = pa.schema([("bucket", pa.int32()), ("g", pa.int64()), ("blob", pa.binary())])
+BLOBS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("g", pa.int64()), ("blob", pa.binary())])
+#: Kinds of blobs: chunk digests and their smallest documents, gram hashes, segments, smallest documents by start.
+CHUNKS, HASHES, SEGMENTS, HOLDERS = range(4)
+#: A chunk has about so many starts.
+CHUNK = 512
 RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary"
 _VALUE = np.random.default_rng(6).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _FACTOR = 0x9E3779B97F4A7C15
 
 
-def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first start, last start, hash) of all maximal runs of starts whose strings of ``length`` bytes have one smallest gram hash."""
+def _blocks(texts: list[bytes], length: int):
+    """Texts of at least ``length`` bytes, in pieces of so many starts, put together to blocks: (text, place in it) of each piece, where in the block it begins, its size, and the hash of
+    every gram in the block."""
     pieces = [(i, at, t[at : at + PIECE + length - 1]) for i, t in enumerate(texts) for at in range(0, max(1, len(t) - length + 1), PIECE) if len(t) - at >= length]
-    found = []
     while pieces:
         some, size = [], 0
         while pieces and (size < BLOCK or not some):
             some.append(pieces.pop())
             size += len(some[-1][2])
         sizes = np.array([len(p) for _, _, p in some])
-        first = np.cumsum(sizes) - sizes
         h = _VALUE[np.frombuffer(b"".join(p for _, _, p in some), np.uint8)]
         step = 1
         while step < GRAM:
             h = h[:-step] * np.uint64(pow(_FACTOR, step, 1 << 64)) + h[step:]
             step *= 2
+        yield np.array([i for i, _, _ in some]), np.array([at for _, at, _ in some]), np.cumsum(sizes) - sizes, sizes, h
+
+
+def chunks(texts: list[bytes], length: int) -> list[tuple[int, int, int]]:
+    """(text, first start, end of starts) of all chunks: the bytes near a start alone say whether a chunk begins there."""
+    marks = [np.array([[i, 0] for i, t in enumerate(texts) if len(t) >= length], np.int64).reshape(-1, 2)]
+    for text, shift, first, sizes, h in _blocks(texts, length):
+        at = np.flatnonzero((h >> np.uint64(48)) % np.uint64(CHUNK) == 0)
+        own = np.searchsorted(first, at, "right") - 1
+        place = at - first[own]
+        good = place + length <= sizes[own]
+        marks.append(np.stack([text[own], place + shift[own]], 1)[good])
+    every = np.unique(np.concatenate(marks), axis=0)
+    last = np.append(every[1:, 0] != every[:-1, 0], True)[: len(every)]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    end = np.where(last, sizes[every[:, 0]] - length + 1, np.append(every[1:, 1], 0)[: len(every)])
+    return list(zip(every[:, 0].tolist(), every[:, 1].tolist(), end.tolist(), strict=True))
+
+
+def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first start, last start, hash) of all maximal runs of starts whose strings of ``length`` bytes have one smallest gram hash."""
+    found = []
+    for text, shift, first, sizes, h in _blocks(texts, length):
         grams, step = length - GRAM + 1, 1
         while 2 * step <= grams:
             h = np.minimum(h[:-step], h[step:])
@@ -56,14 +84,12 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.nd
         new = np.empty(len(h), bool)
         new[0], new[1:] = True, h[1:] != h[:-1]
         new[first] = True
-        over = np.zeros(len(h) + 1, bool)
-        over[(first + sizes - length + 1)[:-1]] = True  # a run ends there, and what begins is none
-        begin = np.flatnonzero(new | over[:-1])
+        new[(first + sizes - length + 1)[:-1]] = True  # what begins there is none
+        begin = np.flatnonzero(new)
         end = np.append(begin[1:], len(h))
         own = np.searchsorted(first, begin, "right") - 1
         good = begin - first[own] + length <= sizes[own]
         begin, end, own = begin[good], end[good], own[good]
-        text, shift = np.array([i for i, _, _ in some]), np.array([at for _, at, _ in some])
         found.append((text[own], begin - first[own] + shift[own], end - 1 - first[own] + shift[own], h[begin]))
     if not found:
         none = np.zeros(0, np.int64)
@@ -84,21 +110,59 @@ def _dealt(h: np.ndarray, buckets: int):
         yield int(b[part[0]]), part
 
 
+class Group:
+    """A group's documents. settled: (text, first start, end) of chunks that a smaller document has."""
+
+    def __init__(self, ids: list[int], texts: list[bytes], length: int, replies: list[bytes] | None = None):
+        from xxhash import xxh3_128_digest
+
+        self.ids, self.texts, self.length = ids, texts, length
+        of = chunks(texts, length)
+        digests = [xxh3_128_digest(texts[i][a : b + length - 1]) for i, a, b in of]
+        self.smallest: dict[bytes, int] = {}
+        for (i, _, _), d in zip(of, digests, strict=True):
+            if self.smallest.setdefault(d, ids[i]) > ids[i]:
+                self.smallest[d] = ids[i]
+        self.settled: list[tuple[int, int, int]] = []
+        if replies is not None:
+            least = dict(self.smallest)
+            for blob in replies:
+                data, holder = _unpack(blob, "u1", "i8")
+                data = data.tobytes()
+                least.update((data[16 * j : 16 * j + 16], d) for j, d in enumerate(holder.tolist()))
+            self.settled = [c for c, d in zip(of, digests, strict=True) if least[d] < ids[c[0]]]
+
+    def open_runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The runs that aren't within settled chunks."""
+        text, first, last, h = runs(self.texts, self.length)
+        if self.settled and len(h):
+            sizes = np.array([len(t) + 1 for t in self.texts])
+            base = np.cumsum(sizes) - sizes
+            step = np.zeros(int(sizes.sum()) + 1, np.int32)
+            i, a, b = np.array(self.settled).T
+            np.add.at(step, base[i] + a, 1)
+            np.add.at(step, base[i] + b, -1)
+            there = np.concatenate([[0], np.cumsum(np.cumsum(step) > 0)])
+            inside = there[base[text] + last + 1] - there[base[text] + first] == last - first + 1
+            text, first, last, h = (x[~inside] for x in (text, first, last, h))
+        return text, first, last, h
+
+
 class Segments:
-    """The distinct segments of a group's documents with hashes that are wanted, bucket by bucket in one order for all who ask."""
+    """The distinct segments of a group with hashes that are wanted, bucket by bucket in one order for all who ask."""
 
-    def __init__(self, ids: list[int], texts: list[bytes], wanted: np.ndarray, length: int, buckets: int):
-        text, first, last, h = runs(texts, length)
+    def __init__(self, group: Group, wanted: np.ndarray, buckets: int):
+        ids, texts, length = group.ids, group.texts, group.length
+        text, first, last, h = group.open_runs()
         keep = np.zeros(len(h), bool)
         if len(wanted):
             keep = wanted[np.minimum(np.searchsorted(wanted, h >> np.uint64(1)), len(wanted) - 1)] == h >> np.uint64(1)
-        self.length = length
         self.text, self.first, self.last = text[keep], first[keep], last[keep]
         places: dict[tuple[int, bytes], list[int]] = {}
         for n, (i, a, b, x) in enumerate(zip(self.text.tolist(), self.first.tolist(), self.last.tolist(), h[keep].tolist(), strict=True)):
             places.setdefault((x, texts[i][a : b + length]), []).append(n)
         keys = sorted(places)
-        self.parts = [(b, [keys[j] for j in part]) for b, part in _dealt(np.array([x for x, _ in keys], np.uint64), buckets)]
+        self.parts = [(b, [keys[j] for j in part]) for b, part in _dealt(np.array([x for x, _ in keys], np.uint64) >> np.uint64(1), buckets)]
         self.places = places
         self.smallest = {key: min(ids[int(self.text[n])] for n in of) for key, of in places.items()}
 
@@ -116,7 +180,7 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), BLOBS.types, strict=True)] if rows else [pa.array([], t) for t in BLOBS.types], schema=BLOBS)
 
 
@@ -174,17 +238,48 @@ def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 2048, i
     rows = with_text(docs, id_col, text_col).withColumn("g", F.expr(f"monotonically_increasing_id() div {group_rows}"))
     rows = written(rows, "grouped-documents")
 
-    def hashes(batches):
+    def texts_of(table) -> tuple[list[int], list[bytes]]:
+        ids = [NO_ID if x is None else x for x in table.column("doc_id").to_pylist()]
+        return ids, [x.encode("utf-8", "surrogatepass") for x in table.column("text").to_pylist()]
+
+    def of_kind(table: pa.Table, kind: int) -> dict[int, bytes]:
+        return {b: x for k, b, x in zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True) if k == kind}
+
+    def digests(batches):
         for batch in batches:
             g = batch.column("g").to_numpy()
             for part in np.split(np.arange(len(g)), np.flatnonzero(np.diff(g)) + 1) if len(g) else ():
-                texts = [x.encode("utf-8", "surrogatepass") for x in batch.column("text").slice(int(part[0]), len(part)).to_pylist()]
-                text, _, _, h = runs(texts, length)
-                pairs = _distinct_pairs(h >> np.uint64(1), text)
-                new = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
-                several = np.diff(np.append(new, len(pairs))) > 1
-                values = pairs[new] << np.uint64(1) | several.astype(np.uint64)  # the lowest bit: in several documents of the group
-                yield _rows([(b, int(g[part[0]]), values[at].tobytes()) for b, at in _dealt(values >> np.uint64(1), buckets)])
+                found = Group(*texts_of(batch.slice(int(part[0]), len(part))), length).smallest
+                data, holder = list(found), np.array(list(found.values()), np.int64)
+                low = np.frombuffer(b"".join(data), np.uint64)[::2]
+                yield _rows([(CHUNKS, b, int(g[part[0]]), _pack(np.frombuffer(b"".join(data[j] for j in at), np.uint8), holder[at])) for b, at in _dealt(low, buckets)])
+
+    def held(table: pa.Table) -> pa.Table:
+        least: dict[bytes, int] = {}
+        asked = []
+        for blob in table.column("blob").to_pylist():
+            data, holder = _unpack(blob, "u1", "i8")
+            data = data.tobytes()
+            asked.append([(data[16 * j : 16 * j + 16], d) for j, d in enumerate(holder.tolist())])
+            for x, d in asked[-1]:
+                if least.setdefault(x, d) > d:
+                    least[x] = d
+        out = []
+        for bucket, g, pairs in zip(table.column("bucket").to_pylist(), table.column("g").to_pylist(), asked, strict=True):
+            if others := [(x, least[x]) for x, d in pairs if least[x] < d]:
+                out.append((CHUNKS, bucket, g, _pack(np.frombuffer(b"".join(x for x, _ in others), np.uint8), np.array([d for _, d in others], np.int64))))
+        return pa.Table.from_batches([_rows(out)])
+
+    def hashes(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.Table.from_batches([_rows([])])
+        text, _, _, h = Group(*texts_of(left), length, list(of_kind(right, CHUNKS).values())).open_runs()
+        pairs = _distinct_pairs(h >> np.uint64(1), text)
+        new = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
+        several = np.diff(np.append(new, len(pairs))) > 1
+        values = pairs[new] << np.uint64(1) | several.astype(np.uint64)  # the lowest bit: in several documents of the group
+        g = left.column("g")[0].as_py()
+        return pa.Table.from_batches([_rows([(HASHES, b, g, values[at].tobytes()) for b, at in _dealt(values >> np.uint64(1), buckets)])])
 
     def repeated(table: pa.Table) -> pa.Table:
         blobs = [np.frombuffer(x, np.uint64) for x in table.column("blob").to_pylist()]
@@ -199,19 +294,16 @@ def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 2048, i
         by = np.argsort(own, kind="stable")
         cut = np.searchsorted(own[by], np.arange(len(blobs) + 1))
         bucket = table.column("bucket")[0].as_py()
-        return pa.Table.from_batches([_rows([(bucket, int(g[i]), key[by[a:b]].tobytes()) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])])
-
-    def texts_of(table: pa.Table) -> tuple[list[int], list[bytes]]:
-        ids = [NO_ID if x is None else x for x in table.column("doc_id").to_pylist()]
-        return ids, [x.encode("utf-8", "surrogatepass") for x in table.column("text").to_pylist()]
+        return pa.Table.from_batches([_rows([(HASHES, bucket, int(g[i]), key[by[a:b]].tobytes()) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])])
 
     def sent(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
+        wanted = of_kind(right, HASHES)
+        if not left.num_rows or not wanted:
             return pa.Table.from_batches([_rows([])])
-        wanted = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in right.column("blob").to_pylist()]))
-        own = Segments(*texts_of(left), wanted, length, buckets)
+        group = Group(*texts_of(left), length, list(of_kind(right, CHUNKS).values()))
+        own = Segments(group, np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in wanted.values()])), buckets)
         g = left.column("g")[0].as_py()
-        return pa.Table.from_batches([_rows([(b, g, _pack(np.array([x for x, _ in keys], np.uint64), np.array([own.smallest[k] for k in keys], np.int64), np.array([len(x) for _, x in keys], np.uint32), np.frombuffer(b"".join(x for _, x in keys), np.uint8))) for b, keys in own.parts])])
+        return pa.Table.from_batches([_rows([(SEGMENTS, b, g, _pack(np.array([x for x, _ in keys], np.uint64), np.array([own.smallest[k] for k in keys], np.int64), np.array([len(x) for _, x in keys], np.uint32), np.frombuffer(b"".join(x for _, x in keys), np.uint8))) for b, keys in own.parts])])
 
     def sorted_(table: pa.Table) -> pa.Table:
         at: dict[tuple[int, bytes], int] = {}
@@ -231,17 +323,20 @@ def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 2048, i
             every = np.concatenate([least[k] for k in keys])
             new = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
             h = np.unique(np.array([x for x, _ in keys], np.uint64) >> np.uint64(1))
-            out.append((bucket, g, _pack(h, np.diff(np.append(new, len(every))).astype(np.uint32), every[new])))
+            out.append((HOLDERS, bucket, g, _pack(h, np.diff(np.append(new, len(every))).astype(np.uint32), every[new])))
         return pa.Table.from_batches([_rows(out)])
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts = texts_of(left)
-        marks: dict[int, list[tuple[int, np.ndarray]]] = {}
-        if right.num_rows:
-            answers = {b: _unpack(x, "u8", "u4", "i8") for b, x in zip(right.column("bucket").to_pylist(), right.column("blob").to_pylist(), strict=True)}
-            own = Segments(ids, texts, np.sort(np.concatenate([a[0] for a in answers.values()])), length, buckets)
+        group = Group(*texts_of(left), length, list(of_kind(right, CHUNKS).values()))
+        ids, texts = group.ids, group.texts
+        marks: dict[int, list[np.ndarray]] = {}
+        for i, a, b in group.settled:
+            marks.setdefault(i, []).append(np.arange(a, b))
+        if held_by := of_kind(right, HOLDERS):
+            answers = {b: _unpack(x, "u8", "u4", "i8") for b, x in held_by.items()}
+            own = Segments(group, np.sort(np.concatenate([a[0] for a in answers.values()])), buckets)
             for b, keys in own.parts:
                 least, at = np.repeat(answers[b][2], answers[b][1]), 0
                 for key in keys:
@@ -265,12 +360,12 @@ def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 2048, i
                 out[name].append(value)
         return pa.Table.from_pydict(out, schema=schema)
 
-    kind = "bucket int, g long, blob binary"
+    kind = "kind int, bucket int, g long, blob binary"
     by_group = rows.groupBy("g")
-    again = written(rows.mapInArrow(hashes, kind).groupBy("bucket").applyInArrow(repeated, kind), "repeated-hashes")
-    segments = written(by_group.cogroup(again.groupBy("g")).applyInArrow(sent, kind), "segments")
-    answers = written(segments.groupBy("bucket").applyInArrow(sorted_, kind), "segment-holders")
-    return by_group.cogroup(answers.groupBy("g")).applyInArrow(cut, RESULT)
+    holders = written(rows.mapInArrow(digests, kind).groupBy("bucket").applyInArrow(held, kind), "chunk-holders")
+    again = written(by_group.cogroup(holders.groupBy("g")).applyInArrow(hashes, kind).groupBy("bucket").applyInArrow(repeated, kind), "repeated-hashes")
+    answers = written(by_group.cogroup(holders.unionByName(again).groupBy("g")).applyInArrow(sent, kind).groupBy("bucket").applyInArrow(sorted_, kind), "segment-holders")
+    return by_group.cogroup(holders.unionByName(answers).groupBy("g")).applyInArrow(cut, RESULT)
 
 
 def _distinct_pairs(h: np.ndarray, text: np.ndarray) -> np.ndarray:
