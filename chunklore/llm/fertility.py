@@ -1,6 +1,7 @@
 """Quality rules on how public vocabularies take a text: characters per token, byte-fallback share, token entropy.
 
-The tokens of a text are those of its words, each after a blank, so white space doesn't count. Every script has its band; a text
+The tokens of a text are those of its words, each after a blank, so white space doesn't count. A character that the piece vocabulary
+lacks is taken as its bytes; the fallback share is that of such bytes among the words' bytes. Every script has its band; a text
 outside it is rejected. Base rules on words and their repeats come first.
 """
 
@@ -21,6 +22,7 @@ SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
     "script string, n_tokens long, chars_per_token double, fallback_share double, token_entropy double"
 )
+BLANKS = dict.fromkeys(map(ord, "\t\n\v\f\r"), " ")
 SYMBOL = np.array([b in b"#*$%&|<>" for b in range(256)])
 
 
@@ -79,42 +81,35 @@ def dup_lines(text: str) -> int:
 
 
 class Fertility:
-    """Tokens of words in the two vocabularies, for one worker."""
+    """The two vocabularies, for one worker."""
 
-    def __init__(self, byte_path: str, piece_path: str, keep: int = 300_000):
+    def __init__(self, byte_path: str, piece_path: str, keep: int = 500_000):
         import sentencepiece
 
         from .wordcache import WordCache
 
-        self.ids = WordCache(byte_path, False, keep // 2)
+        self.ids = WordCache(byte_path, False, keep)
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        self.fallback = {i for i in range(self.pieces.vocab_size()) if self.pieces.is_byte(i) or self.pieces.is_unknown(i)}
-        self.known: dict[bytes, tuple[bytes, int, int]] = {}
-        self.keep, self.chars = keep, 0
-
-    def learn(self, new: list[bytes]) -> dict[bytes, tuple[bytes, int, int]]:
-        if len(self.known) + len(new) > self.keep or self.chars > 24 * self.keep:
-            self.known, self.chars = {}, 0
-        texts = [w.decode("utf-8", "replace") for w in new]
-        ids = self.ids.ids(["x " + t for t in texts])
-        for w, own, pieces in zip(new, ids, self.pieces.encode(texts, num_threads=1), strict=True):
-            self.known[w] = own[4:], len(pieces), sum(1 for i in pieces if i in self.fallback)
-        self.chars += sum(map(len, new))
-        return self.known
-
-    def measures(self, found: list[bytes], word_chars: int) -> tuple[int, float, float, float]:
-        """n_tokens, chars_per_token, fallback_share, token_entropy."""
-        if not found:
+        self.single = {i for i in range(self.pieces.vocab_size()) if self.pieces.is_byte(i) or self.pieces.is_unknown(i)}
+        self.fallback: dict[str, int] = {}  # by character; Unicode bounds it
+
+    def fallback_bytes(self, text: str) -> int:
+        """Bytes of characters that the piece vocabulary takes byte by byte."""
+        there = set(text)
+        for c in [c for c in there if c not in self.fallback]:
+            alone = not c.isspace() and any(i in self.single for i in self.pieces.encode(c))
+            self.fallback[c] = len(c.encode("utf-8", "surrogatepass")) if alone else 0
+        return sum(self.fallback[c] * text.count(c) for c in there if self.fallback[c])
+
+    def measures(self, text: str, n_bytes: int, word_chars: int) -> tuple[int, float, float, float]:
+        """n_tokens, chars_per_token, fallback_share, token_entropy. n_bytes: of the words."""
+        parts = [" " + w for w in text.translate(BLANKS).split(" ") if w]
+        if not parts:
             return 0, 0.0, 0.0, 0.0
-        got = list(map(self.known.get, found))
-        if None in got:
-            known = self.learn(list({w for w, x in zip(found, got, strict=True) if x is None}))
-            got = [x or known[w] for w, x in zip(found, got, strict=True)]
-        ids, pieces, fallback = zip(*got, strict=True)
-        tokens = np.frombuffer(b"".join(ids), "<u4")
+        tokens = np.frombuffer(b"".join([self.ids.whole(p) if x is None else x for p, x in zip(parts, self.ids.found(parts), strict=True)]), "<u4")
         counts = np.diff(np.flatnonzero(np.diff(np.sort(tokens), prepend=-1, append=1 << 33)))
         share = counts / len(tokens)
-        return len(tokens), word_chars / len(tokens), sum(fallback) / max(1, sum(pieces)), float(-(share * np.log2(share)).sum())
+        return len(tokens), word_chars / len(tokens), self.fallback_bytes(text) / n_bytes, float(-(share * np.log2(share)).sum())
 
 
 def judged(script: str, n_tokens: int, chars_per_token: float, fallback_share: float, token_entropy: float, bands: dict[str, Band]) -> bool:
@@ -161,6 +156,7 @@ def rows(vocabularies: Fertility, ids, texts: list[str], bands: dict[str, Band])
     start, _, h = words(blob, UNBLANK)
     own = np.searchsorted(first, start, "right") - 1  # each word's text
     n_words = np.bincount(own, minlength=len(texts))
+    n_bytes = np.add.reduceat(UNBLANK[every].astype(np.int64), first)
     word_chars = np.add.reduceat((UNBLANK[every] & ((every & 0xC0) != 0x80)).astype(np.int64), first)
     n_symbols = np.add.reduceat(SYMBOL[every].astype(np.int64), first)
     windows = shingles(h, 5)
@@ -171,9 +167,8 @@ def rows(vocabularies: Fertility, ids, texts: list[str], bands: dict[str, Band])
     repeated = dict.fromkeys(again.tolist())
     out: dict[str, list] = {name: [] for name in ARROW.names}
     for i, (text, data) in enumerate(zip(texts, datas, strict=True)):
-        found = data.split()
-        n, repeats = int(n_words[i]), repeat_words(found) if i in repeated else 0
-        script, measured = script_of(data), vocabularies.measures(found, int(word_chars[i]))
+        n, repeats = int(n_words[i]), repeat_words(data.split()) if i in repeated else 0
+        script, measured = script_of(data), vocabularies.measures(text, int(n_bytes[i]), int(word_chars[i]))
         failed = n < 10 or 100 * repeats > 20 * n
         row = (None, n, int(word_chars[i]), int(n_symbols[i]), dup_lines(text), repeats, failed, not failed and judged(script, *measured, bands), script, *measured)
         for name, value in zip(out, row, strict=True):
