@@ -40,13 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage is cut, lost executors cost no recomputation."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/chunklore/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     # the shuffle files behind it go with their plan: now, not when the driver next happens to run out of memory
+    del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
