@@ -30,7 +30,7 @@ BLOBS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("g", pa.int64(
 #: Kinds of blobs: chunk digests and their smallest documents, gram hashes, segments, smallest documents by start.
 CHUNKS, HASHES, SEGMENTS, HOLDERS = range(4)
 #: A chunk has about so many starts.
-CHUNK = 512
+CHUNK = 192
 RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary"
 _VALUE = np.random.default_rng(6).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _FACTOR = 0x9E3779B97F4A7C15
@@ -186,43 +186,78 @@ def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
 
 def smallest_holders(segments: list[tuple[int, bytes]], holders: list[int], length: int) -> list[np.ndarray]:
     """For distinct (hash, bytes), in the order of their hashes, and the smallest document of each: by start the smallest document of any segment that has the string."""
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(segments)
+    out = [np.full(len(x) - length + 1, d, np.int64) for (_, x), d in zip(segments, holders, strict=True)]
     shard: list[int] = []
     size = at = 0
     while at < len(segments):
-        to = at
+        to = at + 1
         while to < len(segments) and segments[to][0] == segments[at][0]:
             to += 1
-        if to - at == 1:
-            out[at] = np.full(len(segments[at][1]) - length + 1, holders[at], np.int64)
-        else:
-            own = sum(len(segments[i][1]) + 1 for i in range(at, to))
+        if to - at > 1:  # else no other segment can have its strings
+            own = sum(len(segments[i][1]) for i in range(at, to))
             if shard and size + own > SHARD:
-                _sorted_shard(segments, holders, length, shard, out)
+                _settle([segments[i][1] for i in shard], [out[i] for i in shard], length)
                 shard, size = [], 0
             shard += range(at, to)
             size += own
         at = to
     if shard:
-        _sorted_shard(segments, holders, length, shard, out)
+        _settle([segments[i][1] for i in shard], [out[i] for i in shard], length)
     return out
 
 
-def _sorted_shard(segments, holders, length: int, shard: list[int], out: list[np.ndarray]) -> None:
-    sizes = np.array([len(segments[i][1]) for i in shard])
+def _settle(texts: list[bytes], least: list[np.ndarray], length: int) -> None:
+    """least: by start of each text, holds its own document and gets the smallest one. Stretches of strings whose hashes come twice are cut out, equal ones count once, and what is left is
+    sorted."""
+    sizes = np.array([len(x) for x in texts])
+    starts = sizes - length + 1
+    first = np.cumsum(sizes) - sizes
+    h, step = _VALUE[np.frombuffer(b"".join(texts), np.uint8)], 1
+    total, done = np.zeros(len(h) + 1, np.uint64), 0
+    while step <= length:  # the hash of ``length`` bytes from those of 1, 2, 4 ...
+        if length & step:
+            n = len(h) - done
+            total = total[:n] * np.uint64(pow(_FACTOR, step, 1 << 64)) + h[done:]
+            done += step
+        if 2 * step <= length:
+            h = h[:-step] * np.uint64(pow(_FACTOR, step, 1 << 64)) + h[step:]
+        step *= 2
+    own = np.repeat(np.arange(len(texts)), starts)
+    place = np.arange(int(starts.sum())) - np.repeat(np.cumsum(starts) - starts, starts)
+    values = total[first[own] + place]
+    order = np.argsort(values)
+    equal = values[order][1:] == values[order][:-1]
+    shared = np.zeros(len(values) + 1, bool)
+    shared[order] = np.append(equal, False) | np.append(False, equal)
+    begin = np.flatnonzero(shared[:-1] & ~(np.append(False, shared[:-2]) & np.append(False, own[1:] == own[:-1])))
+    end = np.flatnonzero(shared[:-1] & ~(shared[1:] & np.append(own[1:] == own[:-1], False)))
+    stretches: dict[bytes, int] = {}
+    asked = []
+    for i, a, b in zip(own[begin].tolist(), place[begin].tolist(), place[end].tolist(), strict=True):
+        x = texts[i][a : b + length]
+        asked.append((i, a, b + 1, x))
+        if stretches.setdefault(x, d := int(least[i][0])) > d:
+            stretches[x] = d
+    if stretches:
+        found = dict(zip(stretches, _sorted(list(stretches), list(stretches.values()), length), strict=True))
+        for i, a, b, x in asked:
+            least[i][a:b] = found[x]
+
+
+def _sorted(texts: list[bytes], holders: list[int], length: int) -> list[np.ndarray]:
+    sizes = np.array([len(x) for x in texts])
     first = np.cumsum(sizes + 1) - sizes - 1
-    t = np.zeros(int(first[-1] + sizes[-1] + 1), np.int64)  # 0 ends each segment
+    t = np.zeros(int(first[-1] + sizes[-1] + 1), np.int64)  # 0 ends each text
     inside = np.ones(len(t), bool)
     inside[first + sizes] = False
-    t[inside] = np.frombuffer(b"".join(segments[i][1] for i in shard), np.uint8).astype(np.int64) + 1
+    t[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
     sa = suffix_array(t)
     prefix = permuted_prefixes(t, sa)[sa]
     group = np.flatnonzero(np.append(True, prefix[1:] < length))  # suffixes that share ``length`` bytes lie together
-    holder = np.repeat(np.array([holders[i] for i in shard], np.int64), sizes + 1)
+    holder = np.repeat(np.array(holders, np.int64), sizes + 1)
     least = np.empty(len(t), np.int64)
     least[sa] = np.repeat(np.minimum.reduceat(holder[sa], group), np.diff(np.append(group, len(t))))
-    for i, a, n in zip(shard, first.tolist(), sizes.tolist(), strict=True):
-        out[i] = least[a : a + n - length + 1]
+    return [least[a : a + n - length + 1] for a, n in zip(first.tolist(), sizes.tolist(), strict=True)]
 
 
 def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
