@@ -701,3 +701,65 @@ def triples_dedup(spark, d):
 def triples_text(spark, d):
     t = F.col("t")
     return _raw_triples(spark, d).select("doc_id", triples.in_parentheses(t).alias("parentheses"), triples.as_sentences(t, 2).alias("sentences"), F.md5(triples.with_triples(F.col("text"), triples.in_parentheses(t))).alias("enriched"))
+
+
+# chunkers in numpy: no SQL; the tests hold them against plain versions
+
+
+@query()
+def contiguous_chunks(spark, d):
+    from ..operators.contiguous import split
+
+    return split(b.documents(spark, d), "doc_id", "text").select("doc_id", "chunk_index", "chunk_id", "n", "sent_indices", "sim_mean", "sim_min", "sim_max", "sim_std", F.md5("chunk_text").alias("chunk_md5"))
+
+
+@query()
+def semantic_groups(spark, d):
+    from ..operators.grouping import group
+
+    return group(b.documents(spark, d), "doc_id", "text").select("doc_id", "chunk_index", "chunk_id", "n", "sent_indices", "method", "exemplar", "exemplar_centrality", "sim_mean", F.md5("chunk_text").alias("chunk_md5"))
+
+
+@query()
+def signal_series(spark, d):
+    from ..operators.contiguous import signal_series as series
+
+    return _rounded(series(b.documents(spark, d), "doc_id", "text"), 6, "similarity", "gap")
+
+
+@query()
+def diameter_split(spark, d):
+    from ..operators.contiguous import diameter_split as cut
+
+    out = cut(b.all_chunks(spark, d, 2000), 0.7)
+    return out.select("doc_id", "chunk_id", F.md5("chunk_text").alias("chunk_md5"))
+
+
+@query()
+def chunk_map(spark, d):
+    """The metadata of semantic groups as JSON and back as columns."""
+    from ..operators.grouping import group
+
+    rows = group(b.documents(spark, d), "doc_id", "text")
+    meta = F.to_json(F.struct("chunk_id", "sent_indices", "n", "sim_mean", "sim_min", "sim_max", "sim_std", "exemplar", "exemplar_centrality"))
+    return chunking.chunk_map(rows.select("doc_id", meta.alias("meta_json")), "doc_id")
+
+
+@query()
+def run_configs(spark, d):
+    """Chunks by configuration."""
+    from . import registry
+
+    out = registry.run(b.documents(spark, d), registry.chosen())
+    return out.groupBy("config").agg(F.count("*").alias("n_chunks"), F.sum(F.length("chunk_text")).alias("n_chars"))
+
+
+@query(f"""WITH {_BOUNDS}, x AS (SELECT doc_id, len(list_filter(c, lambda x: len(list_filter(v, lambda y: abs(x - y) <= 1)) > 0)) / len(c)::DOUBLE AS p, len(list_filter(v, lambda x: len(list_filter(c, lambda y: abs(x - y) <= 1)) > 0)) / len(v)::DOUBLE AS r FROM b)
+  SELECT doc_id::VARCHAR AS document_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM x""")
+def boundary_scores(spark, d):
+    from ..operators.contiguous import boundary_scores as scores
+
+    n = lambda mod, add: (F.col("doc_id") % mod + add).cast("int")
+    c, v = (F.array_sort(F.array_distinct(F.array(*x))) for x in ((n(5, 2), n(7, 5), F.lit(20)), (n(3, 4), n(11, 6), F.lit(21))))
+    docs = b.documents(spark, d).select(F.col("doc_id").cast("string").alias("document_id"), c.alias("c"), v.alias("v"))
+    return _rounded(scores(docs.withColumnRenamed("c", "bounds"), docs.withColumnRenamed("v", "bounds")), 6, "precision", "recall", "f1")
