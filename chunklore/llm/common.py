@@ -46,6 +46,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     # the shuffle files behind it go with their plan: now, not when the driver next happens to run out of memory
     del df
     gc.collect()
+    spark.range(1).collect()  # Spark's listeners hold the last query that ended: now it is this one
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
