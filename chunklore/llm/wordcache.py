@@ -13,7 +13,7 @@ import struct
 from unicodedata import is_normalized
 
 #: Parts and stems that a worker remembers at most, and the characters of both.
-KEEP, KEEP_CHARS = 600_000, 16_000_000
+KEEP, KEEP_CHARS = 450_000, 12_000_000
 #: ASCII marks but the apostrophe: a word of letters surely ends before them.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The characters that byte-level vocabularies show bytes by: printable ones for themselves, the rest from 256 on.
