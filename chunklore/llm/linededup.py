@@ -1,7 +1,7 @@
 """Repeated multi-line chunks, DataFrame functions only.
 
-A rolling hash over the hashes of three neighbouring lines ends a chunk where it is divisible by ``divisor``; the ends depend on nearby
-lines alone, so lines put in elsewhere don't shift them. Chunks of two or more lines with words that occur again anywhere are
+A rolling hash over the hashes of three neighbouring lines ends a chunk where it is divisible by ``divisor`` and wasn't a line before, so that no chunk
+but a text's last is a single line; the ends depend on nearby lines alone, so lines put in elsewhere don't shift them. Chunks of two or more lines with words that occur again anywhere are
 removed after their bytes were compared; the first occurrence, by doc_id and place, stays.
 """
 
@@ -29,13 +29,14 @@ def chunks_of(text: Column, divisor: int) -> Column:
         def at(h: Column, i: Column, back: int) -> Column:
             return F.coalesce(F.get(h, i - F.lit(1 + back)), F.lit(0).cast("long"))
 
-        return F.transform(
-            F.array(hashes),
-            lambda h: F.filter(
-                F.sequence(F.lit(1), F.size(h)),
-                lambda i: (i == F.size(h)) | ((at(h, i, 0) + BASE * at(h, i, 1) + BASE * BASE * at(h, i, 2)) % MODULUS % divisor == 0),
-            ),
-        )[0]
+        def rolled(h: Column) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.size(h)), lambda i: (at(h, i, 0) + BASE * at(h, i, 1) + BASE * BASE * at(h, i, 2)) % MODULUS % divisor == 0)
+
+        def stops(hit: Column) -> Column:
+            before = lambda i: F.coalesce(F.get(hit, i - 2), F.lit(False))
+            return F.filter(F.sequence(F.lit(1), F.size(hit)), lambda i: (i == F.size(hit)) | (F.get(hit, i - 1) & ~before(i) & (i > 1)))
+
+        return F.transform(F.transform(F.array(hashes), rolled), stops)[0]
 
     def cut(lines: Column, stops: Column) -> Column:
         def one(stop: Column, k: Column) -> Column:
@@ -50,7 +51,7 @@ def chunks_of(text: Column, divisor: int) -> Column:
     return F.transform(F.array(F.named_struct(F.lit("lines"), lines, F.lit("stops"), ends(lines))), lambda s: cut(s["lines"], s["stops"]))[0]
 
 
-def without_repeated_chunks(docs: DataFrame, divisor: int = 3, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeated_chunks(docs: DataFrame, divisor: int = 2, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, the text without chunks seen before, and n_lines, n_removed_lines, n_removed_chunks.
 
     Order of occurrence: doc_id (null last), then the text's hash, then the place. Repeated rows (same id, same text) count as

@@ -51,11 +51,12 @@ WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
 hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM lines),
 rolled AS (
-  SELECT *, (h + 31337 * lag(h, 1, 0) OVER w + 31337 * 31337 * lag(h, 2, 0) OVER w) % 2147483647 % 3 = 0 AS stop
+  SELECT *, (h + 31337 * lag(h, 1, 0) OVER w + 31337 * 31337 * lag(h, 2, 0) OVER w) % 2147483647 % 2 = 0 AS hit
   FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+stopped AS (SELECT *, hit AND NOT lag(hit, 1, false) OVER (PARTITION BY doc_id ORDER BY i) AND i > 0 AS stop FROM rolled),
 numbered AS (
   SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
-  FROM rolled),
+  FROM stopped),
 chunks AS (
   SELECT doc_id, place, count(*) AS n_lines, count(*) FILTER (regexp_matches(line, '[^ \t\n\x0B\f\r]')) AS n_full,
     string_agg(line, chr(10) ORDER BY i) AS chunk
