@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 
 def tsv(df: DataFrame, path: str, escaped: bool = False, mode: str = "errorifexists") -> None:
-    """Tab-separated with a header. escaped: no quotes, a backslash before what would end a field."""
-    writer = df.write.mode(mode).option("sep", "\t").option("header", True)
-    if escaped:
-        writer = writer.option("quote", "").option("escape", "\\")
-        # without quotes a field may hold no tab or newline as such
-        df = df.select(*[F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), r"\\", r"\\\\"), r"([\t\n\r])", r"\\$1").alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
-        writer = df.write.mode(mode).option("sep", "\t").option("header", True).option("quote", "").option("escapeQuotes", False)
-    writer.csv(path)
+    """Tab-separated with a header; quotes are doubled. escaped: nothing is quoted, a backslash stands before what would end a field."""
+    writer = lambda d: d.write.mode(mode).option("sep", "\t").option("header", True)
+    if not escaped:
+        writer(df).option("escape", '"').csv(path)
+        return
+    text = {c: F.regexp_replace(c, r"([\\\t\n\r])", r"\\$1") for c, t in df.dtypes if t == "string"}
+    writer(df.withColumns(text)).option("quote", "").csv(path)
 
 
 def csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
