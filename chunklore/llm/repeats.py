@@ -149,22 +149,31 @@ class Group:
 
 
 class Segments:
-    """The distinct segments of a group with hashes that are wanted, bucket by bucket in one order for all who ask."""
+    """The distinct segments of a group with hashes that are wanted, bucket by bucket in one order for all who ask.
+
+    wanted: hashes without their lowest bit, which says instead that very many groups have the hash. Of those every single string is a segment,
+    dealt by all of its bytes: contexts of a passage that all documents share would else meet in one bucket.
+    """
 
     def __init__(self, group: Group, wanted: np.ndarray, buckets: int):
+        from xxhash import xxh3_64_intdigest
+
         ids, texts, length = group.ids, group.texts, group.length
         text, first, last, h = group.open_runs()
-        keep = np.zeros(len(h), bool)
-        if len(wanted):
-            keep = wanted[np.minimum(np.searchsorted(wanted, h >> np.uint64(1)), len(wanted) - 1)] == h >> np.uint64(1)
-        self.text, self.first, self.last = text[keep], first[keep], last[keep]
-        places: dict[tuple[int, bytes], list[int]] = {}
-        for n, (i, a, b, x) in enumerate(zip(self.text.tolist(), self.first.tolist(), self.last.tolist(), h[keep].tolist(), strict=True)):
-            places.setdefault((x, texts[i][a : b + length]), []).append(n)
-        keys = sorted(places)
-        self.parts = [(b, [keys[j] for j in part]) for b, part in _dealt(np.array([x for x, _ in keys], np.uint64) >> np.uint64(1), buckets)]
-        self.places = places
-        self.smallest = {key: min(ids[int(self.text[n])] for n in of) for key, of in places.items()}
+        wanted = np.sort(wanted)
+        self.places: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+        if len(wanted) and len(h):
+            at = np.minimum(np.searchsorted(wanted >> np.uint64(1), h >> np.uint64(1)), len(wanted) - 1)
+            keep = wanted[at] >> np.uint64(1) == h >> np.uint64(1)
+            for i, a, b, x in zip(text[keep].tolist(), first[keep].tolist(), last[keep].tolist(), wanted[at][keep].tolist(), strict=True):
+                if x & 1:
+                    for k in range(a, b + 1):
+                        self.places.setdefault((x, texts[i][k : k + length]), []).append((i, k))
+                else:
+                    self.places.setdefault((x, texts[i][a : b + length]), []).append((i, a))
+        keys = sorted(self.places)
+        self.parts = [(b, [keys[j] for j in part]) for b, part in _dealt(np.array([xxh3_64_intdigest(t) if x & 1 else x for x, t in keys], np.uint64), buckets)]
+        self.smallest = {key: min(ids[i] for i, _ in of) for key, of in self.places.items()}
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -260,11 +269,11 @@ def _sorted(texts: list[bytes], holders: list[int], length: int) -> list[np.ndar
     return [least[a : a + n - length + 1] for a, n in zip(first.tolist(), sizes.tolist(), strict=True)]
 
 
-def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 2048, many_groups: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, spans (removed runs of bytes), kept (the bytes that stay).
 
     A byte goes if a string of ``length`` bytes over it also starts in a row with a smaller doc_id; judged on the input. Rows of one
-    doc_id don't remove each other's; a null id counts as larger than any. Null text is empty; texts shorter than ``length`` stay whole;
+    doc_id don't remove each other's (``many_groups``: a gram hash in more groups of ``group_rows`` rows is dealt string by string); a null id counts as larger than any. Null text is empty; texts shorter than ``length`` stay whole;
     other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -325,6 +334,7 @@ def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 2048, i
         new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(new, len(key)))
         again = np.repeat((size > 1) | (np.maximum.reduceat(values[order] & np.uint64(1), new) > 0), size)
+        key = key << np.uint64(1) | np.repeat(size > many_groups, size).astype(np.uint64)
         key, own = key[again], own[order][again]
         by = np.argsort(own, kind="stable")
         cut = np.searchsorted(own[by], np.arange(len(blobs) + 1))
@@ -336,7 +346,7 @@ def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 2048, i
         if not left.num_rows or not wanted:
             return pa.Table.from_batches([_rows([])])
         group = Group(*texts_of(left), length, list(of_kind(right, CHUNKS).values()))
-        own = Segments(group, np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in wanted.values()])), buckets)
+        own = Segments(group, np.concatenate([np.frombuffer(x, np.uint64) for x in wanted.values()]), buckets)
         g = left.column("g")[0].as_py()
         return pa.Table.from_batches([_rows([(SEGMENTS, b, g, _pack(np.array([x for x, _ in keys], np.uint64), np.array([own.smallest[k] for k in keys], np.int64), np.array([len(x) for _, x in keys], np.uint32), np.frombuffer(b"".join(x for _, x in keys), np.uint8))) for b, keys in own.parts])])
 
@@ -357,7 +367,7 @@ def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 2048, i
         for bucket, g, keys in zip(table.column("bucket").to_pylist(), table.column("g").to_pylist(), asked, strict=True):
             every = np.concatenate([least[k] for k in keys])
             new = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
-            h = np.unique(np.array([x for x, _ in keys], np.uint64) >> np.uint64(1))
+            h = np.unique(np.array([x for x, _ in keys], np.uint64))
             out.append((HOLDERS, bucket, g, _pack(h, np.diff(np.append(new, len(every))).astype(np.uint32), every[new])))
         return pa.Table.from_batches([_rows(out)])
 
@@ -371,16 +381,15 @@ def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 2048, i
             marks.setdefault(i, []).append(np.arange(a, b))
         if held_by := of_kind(right, HOLDERS):
             answers = {b: _unpack(x, "u8", "u4", "i8") for b, x in held_by.items()}
-            own = Segments(group, np.sort(np.concatenate([a[0] for a in answers.values()])), buckets)
+            own = Segments(group, np.unique(np.concatenate([a[0] for a in answers.values()])), buckets)
             for b, keys in own.parts:
                 least, at = np.repeat(answers[b][2], answers[b][1]), 0
                 for key in keys:
                     n = len(key[1]) - length + 1
-                    for place in own.places[key]:
-                        i = int(own.text[place])
+                    for i, start in own.places[key]:
                         gone = np.flatnonzero(least[at : at + n] < ids[i])
                         if len(gone):
-                            marks.setdefault(i, []).append(gone + int(own.first[place]))
+                            marks.setdefault(i, []).append(gone + start)
                     at += n
         out: dict[str, list] = {name: [] for name in schema.names}
         for i, (key, data) in enumerate(zip(left.column("doc_id").to_pylist(), texts, strict=True)):
