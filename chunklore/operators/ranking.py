@@ -22,14 +22,18 @@ def _tokens(text: str) -> Column:
 def bm25(chunks: DataFrame, queries: DataFrame, keys: list[str] = KEYS, text: str = "chunk_text") -> DataFrame:
     """keys and bm25_score, Okapi's with a floor for common terms, 0 at least. queries: query_id, query_text (one each)."""
     sized = chunks.select(*keys, _tokens(text).alias("tokens"))
-    tf = sized.select(*keys, F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).groupBy(*keys, "dl", "token").agg(F.count("*").alias("f"))
     corpus = sized.groupBy("query_id").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    df = tf.groupBy("query_id", "token").agg(F.count("*").alias("df"))
+    # a chunk's distinct tokens are found in its row, so that only counts by token are shuffled
+    df = sized.select("query_id", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("df"))
     raw = df.join(corpus, "query_id").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     asked = queries.select("query_id", F.explode(_tokens("query_text")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qf"))
     floor = raw.groupBy("query_id").agg((EPSILON * F.avg("raw")).alias("floor"))
     weight = F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")) * F.col("qf")
     terms = raw.join(asked, ["query_id", "token"]).join(floor, "query_id").select("query_id", "token", "avgdl", weight.alias("weight"))
+    # and of its tokens only those that its query has are counted
+    wanted = queries.select("query_id", F.array_distinct(_tokens("query_text")).alias("wanted"))
+    matched = sized.join(wanted, "query_id").select(*keys, F.size("tokens").alias("dl"), F.explode(F.filter("tokens", lambda t: F.array_contains("wanted", t))).alias("token"))
+    tf = matched.groupBy(*keys, "dl", "token").agg(F.count("*").alias("f"))
     saturated = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scores = tf.join(terms, ["query_id", "token"]).groupBy(*keys).agg(F.sum(F.col("weight") * saturated).alias("s"))
     return chunks.select(*keys).join(scores, keys, "left").select(*keys, F.round(F.greatest(F.coalesce("s", F.lit(0.0)), F.lit(0.0)), PLACES).alias("bm25_score"))
