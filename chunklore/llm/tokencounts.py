@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, tokenizer_path, with_text
+from .common import importable, tokenizer_path, with_text, written
 
 CACHE = "digest binary, n_tokens long"
 
@@ -50,6 +50,7 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer: str = "byte_bpe_50
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
 
     misses.select("digest", "text").mapInArrow(count, CACHE).write.mode("append").parquet(stored)
-    counts = spark.read.schema(CACHE).parquet(stored).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # once each, whoever else appended; written, so that the join below is of two plain tables and a hot digest's rows can be split
+    counts = written(spark.read.schema(CACHE).parquet(stored).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     keys = texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return keys.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
