@@ -269,7 +269,7 @@ def _sorted(texts: list[bytes], holders: list[int], length: int) -> list[np.ndar
     return [least[a : a + n - length + 1] for a, n in zip(first.tolist(), sizes.tolist(), strict=True)]
 
 
-def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 2048, many_groups: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 2048, many_groups: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, spans (removed runs of bytes), kept (the bytes that stay).
 
     A byte goes if a string of ``length`` bytes over it also starts in a row with a smaller doc_id; judged on the input. Rows of one
