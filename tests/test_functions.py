@@ -199,3 +199,15 @@ def test_folds(spark, n, k):
     found = pairs.folded(rows, pairs.shuffle_key(1, "id"), k, ["id"], digits=1)
     sizes = {r.fold: r["count"] for r in found.groupBy("fold").count().collect()}
     assert [sizes.get(f, 0) for f in range(1, k + 1)] == [n // k + (f < n % k) for f in range(k)]
+
+
+def test_extraction(spark):
+    from chunklore.operators import extraction
+
+    rows = spark.createDataFrame([(1, "a b c d. x y. p q r"), (2, "a b c d. x y. p q r"), (3, "none"), (4, None)], "i int, chunk_text string")
+    found = {r.i: r for r in extraction.enriched(rows, extraction.pattern_extractor).collect()}
+    assert found[1].raw_oie_data == found[2].raw_oie_data == "(a; b; c) (p; q; r)"
+    assert found[1].raw_oie_data_plus_chunk_text == "a b c d. x y. p q r (a; b; c) (p; q; r)"
+    assert (found[3].raw_oie_data, found[3].raw_oie_data_plus_chunk_text) == ("", "none") and found[4].raw_oie_data == ""
+    as_json = {r.i: r for r in extraction.enriched(rows, extraction.pattern_extractor, as_json=True).collect()}
+    assert as_json[3].raw_oie_data_json == "[]" and '"subject":"a"' in as_json[1].raw_oie_data_json
