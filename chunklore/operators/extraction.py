@@ -32,9 +32,10 @@ def enriched(chunks: DataFrame, extractor: Extractor, text: str = "chunk_text",
         for batch in batches:
             yield pd.Series(extractor(batch.tolist()), dtype=object)
 
-    call = F.pandas_udf(run, "string")
+    call = F.pandas_udf(run, "string").asNondeterministic()  # so that its column isn't put in place of its uses
     keyed = chunks.withColumn("_key", F.md5(F.coalesce(F.col(text), F.lit(""))))
-    found = keyed.groupBy("_key").agg(F.first(text).alias("_text")).select("_key", triples.deduplicated(triples.flattened(call(F.coalesce("_text", F.lit(""))))).alias("_t"))
+    found = keyed.groupBy("_key").agg(F.first(text).alias("_text")).select("_key", call(F.coalesce("_text", F.lit(""))).alias("_raw"))
+    found = found.select("_key", triples.flattened(F.col("_raw")).alias("_t")).select("_key", triples.deduplicated(F.col("_t")).alias("_t"))
     rows = keyed.join(found, "_key").withColumn("_p", triples.in_parentheses(F.col("_t")))
     shown = F.to_json("_t").alias("raw_oie_data_json") if as_json else F.col("_p").alias("raw_oie_data")
     return rows.select(*chunks.columns, shown, triples.with_triples(F.col(text), F.col("_p"), stripped).alias("raw_oie_data_plus_chunk_text"))
