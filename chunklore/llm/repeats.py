@@ -142,7 +142,9 @@ class Group:
             i, a, b = np.array(self.settled).T
             np.add.at(step, base[i] + a, 1)
             np.add.at(step, base[i] + b, -1)
-            there = np.concatenate([[0], np.cumsum(np.cumsum(step) > 0)])
+            np.cumsum(step, out=step)
+            there = np.zeros(len(step) + 1, np.int32)
+            np.cumsum(step > 0, dtype=np.int32, out=there[1:])
             inside = there[base[text] + last + 1] - there[base[text] + first] == last - first + 1
             text, first, last, h = (x[~inside] for x in (text, first, last, h))
         return text, first, last, h
@@ -269,7 +271,7 @@ def _sorted(texts: list[bytes], holders: list[int], length: int) -> list[np.ndar
     return [least[a : a + n - length + 1] for a, n in zip(first.tolist(), sizes.tolist(), strict=True)]
 
 
-def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 2048, many_groups: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 1024, many_groups: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, spans (removed runs of bytes), kept (the bytes that stay).
 
     A byte goes if a string of ``length`` bytes over it also starts in a row with a smaller doc_id; judged on the input. Rows of one
