@@ -12,6 +12,8 @@ written, and all that is sent back is addressed to a group.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import struct
 
 import numpy as np
@@ -191,6 +193,12 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _trim() -> None:
+    """Gives freed memory back to the system: a worker's heap else keeps the size of its largest group."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), BLOBS.types, strict=True)] if rows else [pa.array([], t) for t in BLOBS.types], schema=BLOBS)
 
@@ -301,6 +309,7 @@ def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 1024, m
                 yield _rows([(CHUNKS, b, int(g[part[0]]), _pack(np.frombuffer(b"".join(data[j] for j in at), np.uint8), holder[at])) for b, at in _dealt(low, buckets)])
 
     def held(table: pa.Table) -> pa.Table:
+        _trim()
         least: dict[bytes, int] = {}
         asked = []
         for blob in table.column("blob").to_pylist():
@@ -317,6 +326,7 @@ def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 1024, m
         return pa.Table.from_batches([_rows(out)])
 
     def hashes(left: pa.Table, right: pa.Table) -> pa.Table:
+        _trim()
         if not left.num_rows:
             return pa.Table.from_batches([_rows([])])
         text, _, _, h = Group(*texts_of(left), length, list(of_kind(right, CHUNKS).values())).open_runs()
@@ -328,6 +338,7 @@ def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 1024, m
         return pa.Table.from_batches([_rows([(HASHES, b, g, values[at].tobytes()) for b, at in _dealt(values >> np.uint64(1), buckets)])])
 
     def repeated(table: pa.Table) -> pa.Table:
+        _trim()
         blobs = [np.frombuffer(x, np.uint64) for x in table.column("blob").to_pylist()]
         g = table.column("g").to_numpy()
         values, own = np.concatenate(blobs), np.repeat(np.arange(len(blobs)), [len(x) for x in blobs])
@@ -344,6 +355,7 @@ def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 1024, m
         return pa.Table.from_batches([_rows([(HASHES, bucket, int(g[i]), key[by[a:b]].tobytes()) for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a])])
 
     def sent(left: pa.Table, right: pa.Table) -> pa.Table:
+        _trim()
         wanted = of_kind(right, HASHES)
         if not left.num_rows or not wanted:
             return pa.Table.from_batches([_rows([])])
@@ -353,6 +365,7 @@ def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 1024, m
         return pa.Table.from_batches([_rows([(SEGMENTS, b, g, _pack(np.array([x for x, _ in keys], np.uint64), np.array([own.smallest[k] for k in keys], np.int64), np.array([len(x) for _, x in keys], np.uint32), np.frombuffer(b"".join(x for _, x in keys), np.uint8))) for b, keys in own.parts])])
 
     def sorted_(table: pa.Table) -> pa.Table:
+        _trim()
         at: dict[tuple[int, bytes], int] = {}
         asked = []
         for blob in table.column("blob").to_pylist():
@@ -376,6 +389,7 @@ def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 1024, m
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        _trim()
         group = Group(*texts_of(left), length, list(of_kind(right, CHUNKS).values()))
         ids, texts = group.ids, group.texts
         marks: dict[int, list[np.ndarray]] = {}
