@@ -1,0 +1,122 @@
+"""Near copies by exact shingle similarity: the pipeline's own contract, apart from op10's fingerprints.
+
+MinHash bands give candidates (a pair of similarity 0.8 meets in one of 24 bands of five with probability 0.9999), and the exact Jaccard
+similarity of the word shingles verifies. First everything is held against the smallest of its band's bucket; then all pairs of a
+bucket that are not in one component yet. So every candidate pair is verified or connected already, without squares of large groups of copies.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import importable, with_text, written
+from .components import connected_components
+from .wordhash import UNBLANK, mixed, shingles, words
+
+BANDS, ROWS = 24, 5
+#: Shingles hashed at a time, so that a very long text needs no more memory.
+STEP = 1 << 12
+_random = np.random.default_rng(10)
+_FACTOR = _random.integers(1, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
+_SHIFT = _random.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
+_BAND = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def split_words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()  # on bytes: A-Z alone, and the six ASCII blanks
+
+
+def shingle_set(text: str, n: int = 5) -> set[tuple[bytes, ...]]:
+    """Distinct runs of n words; the whole of a text with fewer words; none without words."""
+    found = split_words(text)
+    return set(zip(*(found[i:] for i in range(n)), strict=False)) if len(found) >= n else {tuple(found)} if found else set()
+
+
+def jaccard(a: set, b: set) -> float:
+    shared = len(a & b)
+    return shared / (len(a) + len(b) - shared) if shared else 0.0
+
+
+def bands(text: str, n: int = 5) -> np.ndarray:
+    """A signed hash for each band; none without words."""
+    _, _, h = words(text.encode("utf-8", "surrogatepass").lower(), UNBLANK)
+    s = np.unique(shingles(h, min(n, max(1, len(h)))))
+    if not len(s):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(s), STEP):
+        np.minimum(least, (s[None, at : at + STEP] * _FACTOR + _SHIFT).min(1), out=least)
+    out = _BAND.copy()
+    for column in least.reshape(BANDS, ROWS).T:
+        out = mixed(out ^ column)
+    return out.view(np.int64)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
+    """Of pairs (a, b) those whose texts have the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                some, sets = batch.slice(at, 64).to_pydict(), {}
+                for node, text in (*zip(some["a"], some["text_a"], strict=True), *zip(some["b"], some["text_b"], strict=True)):
+                    if node not in sets:
+                        sets[node] = shingle_set(text, n)
+                met = [(a, b) for a, b in zip(some["a"], some["b"], strict=True) if jaccard(sets[a], sets[b]) >= threshold]
+                yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in met], pa.int64()), "b": pa.array([b for _, b in met], pa.int64())})
+
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, component_id: the smallest doc_id reachable over pairs of texts whose n-word shingles have the Jaccard similarity ``threshold`` or more.
+
+    Texts of the same words are one node (by 64 bits of their words' hash); all texts without words are one. Null ids stay null and are no component's
+    id unless it has no other; repeated rows each give a row; other columns are ignored; an empty table gives no rows.
+    """
+    importable(docs.sparkSession)
+
+    @F.pandas_udf("long")
+    def node_of(text: pd.Series) -> pd.Series:
+        from xxhash import xxh64_intdigest
+
+        return pd.Series([xxh64_intdigest(b" ".join(split_words(t))) for t in text], dtype="uint64").astype("int64")
+
+    @F.pandas_udf("array<long>")
+    def bands_of(text: pd.Series) -> pd.Series:
+        return pd.Series([bands(t, n) for t in text], dtype=object)
+
+    rows = with_text(docs, id_col, text_col)
+    keyed = written(rows.select("doc_id", "text", node_of("text").alias("node")), "worded-documents")
+    one = keyed.groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.xxhash64("text")).alias("mark"))
+    nodes = written(one, "word-nodes")
+    banded = keyed.select("node", F.posexplode(bands_of("text")).alias("band", "bucket")).select("node", "bucket")
+    banded = written(banded.distinct(), "bands")
+    shared = written(banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1").drop("n"), "buckets")
+    met = written(banded.join(shared, "bucket"), "met")
+    # a node's text, of those that meet another: one of its rows'
+    some = nodes.join(met.select("node").distinct(), "node", "left_semi")
+    texts = keyed.join(some.select("node", "mark"), "node").filter(F.xxhash64("text") == F.col("mark")).select("node", "text").dropDuplicates(["node"])
+    texts = written(texts, "met-texts")
+    links = written(verified(met.filter("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), texts, threshold, n), "links")
+    known = connected_components(links)
+    labelled = met.join(known, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    labelled = written(labelled, "met-components")
+    apart = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+    left = written(labelled.join(apart, "bucket", "left_semi"), "buckets-apart")
+    other = left.select("bucket", F.col("node").alias("b"), F.col("component").alias("of_b"))
+    # the smallest of a bucket was held against all of it
+    rest = left.join(shared, "bucket").filter("node <> least").select("bucket", F.col("node").alias("a"), F.col("component").alias("of_a"), "least")
+    pairs = rest.join(other, "bucket").filter("a > b AND of_a <> of_b AND b <> least").select("a", "b").distinct()
+    more = written(verified(written(pairs, "pairs-apart"), texts, threshold, n), "more-links")
+    closed = connected_components(written(links.unionByName(more), "all-links"))
+    named = nodes.join(closed, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    named = written(named, "node-components")
+    ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    out = written(named.join(ids, "component").select("node", "component_id"), "named-nodes")
+    return keyed.join(out, "node").select("doc_id", "component_id")

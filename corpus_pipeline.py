@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunklore.llm import decontaminate, langid, linededup, packing, simhash
+from chunklore.llm import decontaminate, langid, linededup, nearcopies, packing
 from chunklore.llm.common import written
 
 #: Mean probability that the predicted language must reach: with four languages chance has a quarter.
@@ -32,8 +32,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest doc_id stays; a document without id is no copy of another."""
-    groups = simhash.near_duplicates(docs)
+    """Of each component of near copies (five-word shingles, similarity 0.8) the document with the smallest doc_id stays; a document without id is no copy of another."""
+    groups = nearcopies.near_copies(docs)
     stay = written(groups.filter("doc_id = component_id").select("doc_id").distinct(), "representatives")
     first = docs.filter("doc_id IS NOT NULL").join(stay, "doc_id", "left_semi")
     once = first.dropDuplicates(["doc_id"])  # repeated rows are copies too
