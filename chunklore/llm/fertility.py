@@ -2,7 +2,8 @@
 
 The tokens of a text are those of its words, each after a blank, so white space doesn't count. A character that the piece vocabulary
 lacks is taken as its bytes; the fallback share is that of such bytes among the words' bytes. Every script has its band; a text
-outside it is rejected. Base rules on words and their repeats come first.
+outside it is rejected. Within the bands the corpus itself sets each script's least characters a token and most tokens a word, by
+its quartiles. Base rules on words and their repeats come first.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import importable, tokenizer_path, with_text
+from .common import importable, tokenizer_path, with_text, written
 from .wordhash import UNBLANK, shingles, words
 
 SCHEMA = (
@@ -118,6 +120,28 @@ def judged(script: str, n_tokens: int, chars_per_token: float, fallback_share: f
     return band.least_chars <= chars_per_token <= band.most_chars and fallback_share <= band.most_fallback and token_entropy >= floor
 
 
+#: A script's quartiles count from so many texts on that pass the base rules; with fewer its band alone does.
+LEAST_TEXTS = 100
+
+
+def fitted(measured: DataFrame) -> DataFrame:
+    """Rows of SCHEMA, kept only within their script's fences too: a quartile and 1.5 times the distance of the quartiles, or a quarter of it if that is more.
+    A mean over few words strays further: ten words have twice that room, and the more the less.
+
+    Values are rounded and capped, so that exact quartiles need few of them however many rows there are.
+    """
+    measures = {"chars": F.round(F.least("chars_per_token", F.lit(100.0)), 2), "tokens": F.round(F.least(F.col("n_tokens") / F.greatest("n_words", F.lit(1)), F.lit(100.0)), 2)}
+    passed = measured.filter("NOT base_failed").select(F.col("script").alias("of"), *[v.alias(k) for k, v in measures.items()])
+    found = passed.groupBy("of").agg(F.count("*").alias("n"), *[F.percentile(k, [0.25, 0.75]).alias(k) for k in measures]).filter(F.col("n") >= LEAST_TEXTS)
+    low, high = (lambda k: F.col(k)[0]), (lambda k: F.col(k)[1])
+    room = F.greatest(1.5 * (high("chars") - low("chars")), 0.25 * low("chars")), F.greatest(1.5 * (high("tokens") - low("tokens")), 0.25 * high("tokens"))
+    fences = F.broadcast(found.select("of", low("chars").alias("low"), high("tokens").alias("high"), room[0].alias("below"), room[1].alias("above")))  # a row a script
+    wider = 1 + F.sqrt(10 / F.greatest("n_words", F.lit(1)))
+    within = F.coalesce((measures["chars"] >= F.col("low") - F.col("below") * wider) & (measures["tokens"] <= F.col("high") + F.col("above") * wider), F.lit(True))
+    own = measured.columns
+    return measured.join(fences, F.col("script") == F.col("of"), "left").select(*[(F.col("kept") & within).alias("kept") if c == "kept" else c for c in own])
+
+
 def fertility_rules(docs: DataFrame, byte_vocabulary: str = "byte_bpe_50k.json", piece_vocabulary: str = "piece_bpe_32k.model", bands: dict[str, Band] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, the base measures, base_failed, kept, and what the vocabularies measured (columns of SCHEMA).
 
@@ -134,7 +158,7 @@ def fertility_rules(docs: DataFrame, byte_vocabulary: str = "byte_bpe_50k.json",
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_pydict(rows(vocabularies, part.column("doc_id"), part.column("text").to_pylist(), bands), schema=ARROW)
 
-    return with_text(docs, id_col, text_col).mapInArrow(measure, SCHEMA)
+    return fitted(written(with_text(docs, id_col, text_col).mapInArrow(measure, SCHEMA), "fertility"))
 
 
 ARROW = pa.schema([(name, {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}[kind]) for name, kind in (x.split() for x in SCHEMA.split(", "))])
