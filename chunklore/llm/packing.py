@@ -30,12 +30,12 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_
     table gives no rows.
     """
     importable(docs.sparkSession)
-    path, end = tokenizer_path(tokenizer), int(end_id).to_bytes(4, "little")
+    end = int(end_id).to_bytes(4, "little")
 
     def cut(batches):
         from .wordcache import encoder
 
-        encode = encoder(path)
+        encode = encoder(tokenizer_path(tokenizer))  # where this worker has it
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids")}

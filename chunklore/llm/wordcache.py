@@ -20,17 +20,18 @@ MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _plain)}
 
-_loaded: dict[str, object] = {}
+_loaded: dict[tuple[str, bool], object] = {}
 
 
-def load(path: str):
-    """The tokenizer of a file, once for each worker, on one thread."""
-    if path not in _loaded:
+def load(path: str, ordinary: bool = False):
+    """The tokenizer of a file, once for each worker, on one thread. ordinary: special tokens' strings in a text are ordinary text."""
+    if (path, ordinary) not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path)
-    return _loaded[path]
+        _loaded[path, ordinary] = Tokenizer.from_file(path)
+        _loaded[path, ordinary].encode_special_tokens = ordinary
+    return _loaded[path, ordinary]
 
 
 def packed(encoding) -> bytes:
@@ -44,14 +45,24 @@ class WordCache:
     with its blank, and only a single blank between two other characters is a certain cut.
     """
 
-    def __init__(self, path: str, blanks_dropped: bool, keep: int = KEEP):
-        self.tokenizer, self.blanks_dropped, self.known = load(path), blanks_dropped, {}
+    def __init__(self, path: str, blanks_dropped: bool, keep: int = KEEP, ordinary: bool = False):
+        self.tokenizer, self.blanks_dropped, self.known = load(path, ordinary), blanks_dropped, {}
         self.stems: dict[str, bytes] = {}
         self.chars, self.keep = 0, keep
+        self.ends: dict[str, bool] = {}  # by character; Unicode bounds it
 
     def whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False))
 
+    def ends_word(self, c: str) -> bool:
+        """Whether the library, once it has normalised, takes the character as letters alone and cuts before a mark that follows it."""
+        if c not in self.ends:
+            normal, before = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+            left = normal.normalize_str(c) if normal else c
+            cut = [part for part, _ in before.pre_tokenize_str(f"a{left}a.")]
+            self.ends[c] = c.isalpha() and len(cut) == 2 and cut[1] == "."
+        return self.ends[c]
+
     def learn(self, parts: set[str]) -> dict[str, bytes | None]:
         """Ids of these parts, and of others. A part is None where its cut isn't certain."""
         fresh: set[str] | list[str] = [p for p in parts if p not in self.known]
@@ -68,7 +79,7 @@ class WordCache:
                 known[p] = None
                 continue
             stem = p.rstrip(MARKS)
-            if not stem[-1:].isalpha():
+            if not stem or not (stem[-1].isalpha() if stem.isascii() else self.ends_word(stem[-1])):
                 slow.append(p)
                 continue
             tail = p[len(stem) :]
@@ -77,7 +88,7 @@ class WordCache:
             if (ids := stems.get(stem)) is None:
                 # one run of letters, as the library's own steps leave it: its bytes go to the merges straight
                 letters = stem[lead:]
-                if letters.isalpha() and (letters.isascii() or not dropped or (letters == letters.lower() and is_normalized("NFC", letters))):
+                if letters.isalpha() and (letters.isascii() or (all(map(self.ends_word, set(letters))) and (not dropped or (letters == letters.lower() and is_normalized("NFC", letters))))):
                     shown = stem if dropped and letters.isascii() else stem.encode().decode("latin-1").translate(SHOWN)
                     got = tokenize(shown)
                     ids = struct.pack(f"<{len(got)}I", *[t.id for t in got])

@@ -93,6 +93,12 @@ def test_odd_rows(spark, tokenizer):
     whole(sequences, 128)
 
 
+def test_texts_of_many_scripts(spark, tokenizer):
+    rows = [(1, "İstanbul'da İ. güzel, İ!"), (2, "फ़िल्म. क़लम, ज़रूर! " * 20), (3, "বাংলা য়, ড়. ঢ়; " * 20), (4, "שּׁ. אּ, שלום!"), (5, "ਸ਼ੇਰ. ਖ਼ਬਰ, ਗ਼"), (6, "Ὀδυσσεύς, Ⅷ. ǅ!")]
+    pieces = packing.tokenized_pieces(spark.createDataFrame(rows, "doc_id long, text string"), seq_len=64).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, zlib.crc32(bytes(r.ids))) for r in pieces) == expected(rows, tokenizer, 64)
+
+
 def test_no_rows(spark):
     assert packing.packed(packing.tokenized_pieces(cases.empty(spark))).count() == 0
 

@@ -44,8 +44,20 @@ def test_query(spark, sf):
 
 
 def test_word_cache_is_exact():
-    texts = ["", "  a b ", "a  b", "x <|endoftext|> y", "a\n b", "é é Σας ΣΑΣ", "tab\tx y", "I'm it's 'S x", "日本語 テスト 12 345", "a b\n\nc d ", "don't, \"x\" [a] (b)--c", "ﬁn Ǆ ǅx ŉ İstanbul K", "Ärger ñandú!! word,word", "́x a​b"]
+    texts = ["", "  a b ", "a  b", "x <|endoftext|> y", "a\n b", "é é Σας ΣΑΣ", "tab\tx y", "I'm it's 'S x", "日本語 テスト 12 345", "a b\n\nc d ", "don't, \"x\" [a] (b)--c", "ﬁn Ǆ ǅx ŉ İstanbul K", "Ärger ñandú!! word,word", "́x a​b", "İ. फ़िल्म, ড়. ਸ਼ੇਰ; שּׁ! İstanbul'da", "क़लम. য়, ଡ଼) གྷ:"]
     for name, dropped in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
         words = WordCache(tokenizer_path(name), dropped, keep=20)  # so small that it is emptied on the way
         for _ in range(2):
             assert words.ids(texts) == [words.whole(t) for t in texts]
+
+
+def test_cuts_before_marks_for_every_character():
+    """Parts whose last character the vocabulary's normal form takes apart are cut nowhere the library doesn't cut."""
+    every = [c for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff" and not c.isspace()]
+    for name, dropped in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        words = WordCache(tokenizer_path(name), dropped)
+        for form, step in (("a{}.", 1), ("{},", 7), ("x {}", 7)):
+            some = every[::step] if step > 1 else every
+            some = [*some, *(c for c in every if c.isalpha())] if step > 1 else some
+            texts = ["q " + " ".join(form.format(c) for c in some[at : at + 512]) for at in range(0, len(some), 512)]
+            assert words.ids(texts) == [words.whole(t) for t in texts], (name, form)
