@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -20,10 +20,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         parent = written(left.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("parent")), "parents")
         up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        parent = written(parent.join(up, "parent").select("node", F.col("grand").alias("parent")), "parents")
+        one, parent = parent, written(parent.join(up, "parent").select("node", F.col("grand").alias("parent")), "parents")
         maps.append(parent)
         of = lambda side: parent.select(F.col("node").alias(side), F.col("parent").alias(f"p{side}"))  # noqa: B023, E731
-        left = written(left.join(of("a"), "a").join(of("b"), "b").filter("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "edges")
+        done, left = left, written(left.join(of("a"), "a").join(of("b"), "b").filter("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct(), "edges")
+        drop(one, done)
     if not maps:
         return edges.sparkSession.createDataFrame([], "node long, component long")
     out = maps[0].withColumnRenamed("parent", "component")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, tokenizer_path, with_text, written
+from .common import exists, importable, tokenizer_path, with_text, written
 
 CACHE = "digest binary, n_tokens long"
 
@@ -32,16 +32,21 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer: str = "byte_bpe_50
     """
     spark = docs.sparkSession
     importable(spark)
-    path = tokenizer_path(tokenizer)
-    stored = f"{cache_path.rstrip('/')}/{version_of(path)}"
-    spark.createDataFrame([], CACHE).coalesce(1).write.mode("append").parquet(stored)  # so that there is a table
+    version = version_of(tokenizer_path(tokenizer))
+    stored = f"{cache_path.rstrip('/')}/{version}"
+    if not exists(spark, stored):
+        spark.createDataFrame([], CACHE).coalesce(1).write.mode("append").parquet(stored)
     texts = with_text(docs, id_col, text_col).withColumn("digest", F.unhex(F.sha2("text", 256)))
-    distinct = texts.groupBy("digest").agg(F.first("text").alias("text"))
-    misses = distinct.join(spark.read.schema(CACHE).parquet(stored), "digest", "left_anti")
+    # digests alone say what the cache lacks; a text is read again only where it does
+    distinct = texts.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    misses = written(distinct.join(spark.read.schema(CACHE).parquet(stored), "digest", "left_anti").withColumnRenamed("digest", "missed"), "missed-digests")
 
     def count(batches):
         from .wordcache import encoder
 
+        path = tokenizer_path(tokenizer)
+        if version_of(path) != version:
+            raise ValueError(f"{path} is another version than the driver's")
         encode = encoder(path)
         for batch in batches:
             n: list[int] = []
@@ -49,7 +54,10 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer: str = "byte_bpe_50
                 n += [len(ids) // 4 for ids in encode(batch.column("text").slice(at, 64).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
 
-    misses.select("digest", "text").mapInArrow(count, CACHE).write.mode("append").parquet(stored)
+    if not misses.isEmpty():
+        # the document with the smallest id speaks for its digest; only its own repeated rows meet it
+        found = texts.join(misses, (F.col("digest") == F.col("missed")) & F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("digest", "doc_id").agg(F.first("text").alias("text"))
+        found.select("digest", "text").mapInArrow(count, CACHE).write.mode("append").parquet(stored)
     # once each, whoever else appended; written, so that the join below is of two plain tables and a hot digest's rows can be split
     counts = written(spark.read.schema(CACHE).parquet(stored).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     keys = texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
