@@ -4,8 +4,6 @@ The network reads windows of bytes from both ends, gives every position a distri
 probabilities are the means over all its positions. It is trained here, in numpy, by backpropagation through time.
 """
 
-import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,10 +12,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, importable
+from .common import held_out, importable, named
 
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: Windows of a sampled text, from its first character to its last.
+WINDOWS = 5
+
+
+def has_letter(text: str) -> bool:
+    """Of the Unicode categories L: number signs and digits are none."""
+    return any(map(str.isalpha, text))
 
 
 @dataclass
@@ -166,8 +170,9 @@ def probabilities(net: Network, texts: list[bytes], width: int = 128, windows: i
 
 
 def training_sample(docs: DataFrame, per_language: int, excerpt: int, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """(lang, excerpt) of about ``per_language`` documents of each language that aren't held out, by the hash of their id: a sample whose size doesn't grow with the corpus."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
+    """(lang, windows from the text's beginning to its end, ``excerpt`` characters in all) of about ``per_language`` documents of each language that aren't held out, by the hash of their id: a sample whose
+    size doesn't grow with the corpus."""
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"), named(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
@@ -175,22 +180,24 @@ def training_sample(docs: DataFrame, per_language: int, excerpt: int, id_col: st
     mark = F.xxhash64("doc_id", "text")
     rates = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, per_language / n))])
     place = F.pmod(mark, F.lit(1 << 20)) / F.lit(float(1 << 20)) < F.element_at(rates, F.col("lang"))
-    start = 1 + F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.lit(1), F.length("text") - excerpt))
-    took = rows.filter(place).select("lang", F.substr("text", start.cast("int"), F.lit(excerpt)).alias("part"), mark.alias("mark")).orderBy("mark", "lang", "part").limit(2 * per_language * len(counts))
+    each = excerpt // WINDOWS
+    spread = [F.substr("text", (1 + F.floor(i * (F.length("text") - each) / (WINDOWS - 1))).cast("int"), F.lit(each)) for i in range(WINDOWS)]
+    part = F.when(F.length("text") <= excerpt, F.col("text")).otherwise(F.concat(*spread))
+    took = rows.filter(place).select("lang", part.alias("part"), mark.alias("mark")).orderBy("mark", "lang", "part").limit(2 * per_language * len(counts))
     return [(r.lang, r.part) for r in took.collect()]
 
 
 def language_predictor(docs: DataFrame, per_language: int = 600, excerpt: int = 320, hidden: int = 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
     """A function from a text column to struct<lang_pred, score>, learned from the rows of ``docs`` that aren't held out and have a language.
 
-    ``und`` with score 0 where a text is null or has no letters, or where there was nothing to learn from. The sample is bound
-    by per_language and excerpt; ids, sources and languages are no input of a prediction.
+    ``und`` with score 0 where a text is null or has no letters, or where there was nothing to learn from. Of languages equally likely the first by name
+    counts. Very long texts are read in groups of windows of 128 bytes, each on its own. The sample is bound by per_language and excerpt; ids, sources and languages are no input of a prediction.
     """
     spark = docs.sparkSession
     importable(spark)
     sample = training_sample(docs, per_language, excerpt, id_col, text_col, lang_col)
     langs = sorted({lang for lang, _ in sample})
-    sample = [(lang, part) for lang, part in sample if LETTER.search(part)]
+    sample = [(lang, part) for lang, part in sample if has_letter(part)]
     net = train([p.encode() for _, p in sample], [langs.index(lang) for lang, _ in sample], len(langs), hidden) if sample else None
     shared = spark.sparkContext.broadcast((langs, net))
 
@@ -200,7 +207,7 @@ def language_predictor(docs: DataFrame, per_language: int = 600, excerpt: int =
             lang, score = [], []
             for at in range(0, len(texts), 512):
                 some = texts.iloc[at : at + 512].tolist()
-                known = [bool(t and net is not None and LETTER.search(t)) for t in some]
+                known = [bool(t and net is not None and has_letter(t)) for t in some]
                 p = probabilities(net, [t.encode("utf-8", "surrogatepass") for t, k in zip(some, known, strict=True) if k]) if any(known) else None
                 best = iter(zip(p.argmax(1), p.max(1), strict=True)) if p is not None else iter(())
                 for k in known:
@@ -215,9 +222,5 @@ def language_predictor(docs: DataFrame, per_language: int = 600, excerpt: int =
 def predicted_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score. Rows may repeat, ids be null, other columns are ignored; an empty table gives no rows."""
     predict = language_predictor(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, **options)
-    out = docs.select(docs[id_col].alias("doc_id"), predict(docs[text_col].cast("string")).alias("p"))
+    out = docs.select(named(id_col).alias("doc_id"), predict(named(text_col).cast("string")).alias("p"))
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "p.lang_pred", "p.score")
-
-
-def is_held_out(doc_id: int) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 5 == 0

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, importable
+from .common import held_out, importable, named
 from .wordhash import UNBLANK, words
 
 
@@ -152,14 +152,15 @@ def scores(field: Field, texts: list[str], group: int = 128) -> np.ndarray:
 
 def training_sample(docs: DataFrame, labels: DataFrame, most: int, most_chars: int, id_col: str, text_col: str, label_col: str) -> list[tuple[int, str]]:
     """(label, run of lines of the text, from a place by the hash of the id) of at most ``most`` labelled rows that aren't held out, by the hash of their id."""
-    own = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("y"))
-    own = own.filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).dropDuplicates(["doc_id"])
+    own = labels.select(named(id_col).cast("long").alias("doc_id"), named(label_col).cast("int").alias("y"))
+    own = own.filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    own = own.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most").drop("most")  # none where labels contradict each other
     own = own.withColumn("mark", F.xxhash64("doc_id")).orderBy("mark", "doc_id").limit(most)
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    from_ = F.pmod(F.xxhash64(docs[id_col].cast("long"), F.lit("run")), F.greatest(F.length(text) - most_chars + 1, F.lit(1)).cast("long")).cast("int")
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
+    from_ = F.pmod(F.xxhash64(named(id_col).cast("long"), F.lit("run")), F.greatest(F.length(text) - most_chars + 1, F.lit(1)).cast("long")).cast("int")
     run = F.substr(text, from_ + 1, F.lit(most_chars))
     whole = F.when(from_ > 0, F.regexp_replace(run, r"\A[^\n]*\n(?=[\s\S])", "")).otherwise(run)  # from a line's start, where there is another
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), whole.alias("text"))
+    texts = docs.select(named(id_col).cast("long").alias("doc_id"), whole.alias("text"))
     rows = texts.join(F.broadcast(own), "doc_id").orderBy("mark", "doc_id", "text").limit(2 * most).collect()  # the broadcast has ``most`` rows of three numbers
     return [(r.y, r.text) for r in rows]
 
@@ -168,7 +169,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
     """Per row: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (1 if score >= threshold).
 
     Learned from at most ``most`` labelled rows that aren't held out, of each a run of lines of ``most_chars`` characters at most from anywhere in it; scored on whole texts. Null
-    text counts as empty: one blank line. Where there is nothing to learn from every score is 0.5. Null ids are never held out and
+    text counts as empty: one blank line. Where there is nothing to learn from every score is 0.5. A document whose labels contradict each other teaches nothing. Null ids are never held out and
     learn nothing; repeated rows each give a row; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -183,5 +184,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
             yield pd.Series(np.concatenate([np.zeros(0), *parts])).clip(0, 1)
 
     scored = F.pandas_udf(score, "double")
-    out = docs.select(docs[id_col].alias("doc_id"), scored(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("score"))
+    out = docs.select(named(id_col).alias("doc_id"), scored(F.coalesce(named(text_col).cast("string"), F.lit(""))).alias("score"))
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -60,6 +60,19 @@ def test_language_of_odd_rows(spark):
     assert langid.predicted_languages(cases.empty(spark)).count() == 0
 
 
+def test_signs_and_digits_are_no_letters(spark):
+    rows = [(i, f"some words {i}", "en") for i in range(20)] + [(100, "² ½ ①", "en"), (101, "123 _ ...", "en"), (102, "½ a", "en"), (103, "ª", "en"), (104, "́", None)]
+    found = {r.doc_id: r.lang_pred for r in langid.predicted_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [found[i] for i in range(100, 105)] == ["und", "und", "en", "en", "und"]
+
+
+def test_sample_reads_texts_to_their_ends(spark):
+    text = "a" * 5000 + "b" * 5000 + "c" * 5000
+    docs = spark.createDataFrame([(i, text, "en") for i in range(10)], "doc_id long, text string, lang string")
+    sample = langid.training_sample(docs, 100, 320, "doc_id", "text", "lang")
+    assert sample and all(set(part) == {"a", "b", "c"} and len(part) == 320 for _, part in sample)
+
+
 def test_held_out_rows_teach_nothing(spark):
     rows = [(i, f"the words of number {i} are here", "en" if zlib.crc32(str(i).encode()) % 5 else "xx") for i in range(60)]
     found = langid.predicted_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
@@ -104,6 +117,13 @@ def test_quality_of_odd_rows(spark):
     assert linecrf.quality_scores(cases.empty(spark), labels).count() == 0
 
 
+def test_contradicting_labels_teach_nothing(spark):
+    docs = cases.frame(spark)
+    sample = lambda labels: sorted(linecrf.training_sample(docs, spark.createDataFrame(labels, "doc_id long, quality int"), 100, 6000, "doc_id", "text", "quality"))
+    own = [(i, i % 2) for i in range(8)]
+    assert sample([*own, (9, 0), (9, 1)]) == sample([(9, 1), *own, (9, 0)]) == sample(own)
+
+
 def test_scores_do_not_depend_on_the_batch():
     texts = [cases.prose(i, 20 + i) + "\n" * (i % 7) + cases.prose(i + 1, 9) for i in range(30)] + ["", "\n" * 500]
     field = linecrf.train(texts, [i % 2 for i in range(len(texts))], rounds=20)
