@@ -1,7 +1,7 @@
 """Quality rules on how public vocabularies take a text: characters per token, byte-fallback share, token entropy.
 
-The tokens of a text are those of its words, each after a blank, so white space doesn't count. A character that the piece vocabulary
-lacks is taken as its bytes; the fallback share is that of such bytes among the words' bytes. Every script has its band; a text
+The tokens of a text are those of its words, each after a blank, so white space doesn't count; strings of special tokens are ordinary text. A character that the piece vocabulary
+lacks when it stands alone is taken as its bytes wherever it stands; the fallback share is that of such bytes among the words' bytes. Every script has its band; a text
 outside it is rejected. Within the bands the corpus itself sets each script's least characters a token and most tokens a word, by
 its quartiles. Base rules on words and their repeats come first.
 """
@@ -9,6 +9,8 @@ its quartiles. Base rules on words and their repeats come first.
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass
 
@@ -25,6 +27,7 @@ SCHEMA = (
     "script string, n_tokens long, chars_per_token double, fallback_share double, token_entropy double"
 )
 BLANKS = dict.fromkeys(map(ord, "\t\n\v\f\r"), " ")
+NO_LETTERS = bytes(b for b in range(256) if b >= 128 or not chr(b).isalpha())
 SYMBOL = np.array([b in b"#*$%&|<>" for b in range(256)])
 
 
@@ -48,18 +51,30 @@ BANDS = {
     "other": Band(0.1, 8.0, 1.00),
     "none": Band(0.1, 8.0, 0.50),
 }
-#: Script by the first byte of a letter's UTF-8.
-_LEAD = np.array(["none"] * 256, dtype=object)
-_LEAD[[b for b in range(128) if chr(b).isalpha()]] = "latin"
-_LEAD[0xC3:0xCA], _LEAD[0xCD:0xD0], _LEAD[0xD0:0xD4], _LEAD[0xD4:0xE3], _LEAD[0xE3:0xEE], _LEAD[0xEE:] = "latin", "greek", "cyrillic", "other", "cjk", "other"
-SCRIPTS = sorted(set(_LEAD) - {"none"})
-_LEAD_AT = np.array([SCRIPTS.index(x) if x != "none" else len(SCRIPTS) for x in _LEAD])
+#: East Asian scripts that words aren't parted in, by how Unicode names their letters.
+CJK = {"cjk", "hiragana", "katakana", "katakana-hiragana", "hangul", "bopomofo", "yi"}
+_OUTSIDE = re.compile(r"[^\x00-\x7f]+")
+_scripts: dict[str, str | None] = {}  # by character; Unicode bounds it
 
 
-def script_of(data: bytes) -> str:
-    """The script that most letters have; ``none`` without letters."""
-    counts = np.bincount(_LEAD_AT[np.frombuffer(data, np.uint8)], minlength=len(SCRIPTS) + 1)[:-1]
-    return SCRIPTS[int(counts.argmax())] if counts.any() else "none"
+def script_of_letter(c: str) -> str | None:
+    """The first word of a letter's Unicode name, in lower case, CJK put together; None for what is no letter."""
+    if c not in _scripts:
+        name = unicodedata.name(c, "other").split()[0].lower() if c.isalpha() else None
+        _scripts[c] = "cjk" if name in CJK else name
+    return _scripts[c]
+
+
+def script_of(text: str) -> str:
+    """The script that most letters have, of equals the first by name; ``none`` without letters."""
+    counts: Counter = Counter()
+    if not text.isascii():
+        for c, n in Counter("".join(_OUTSIDE.findall(text))).items():
+            if script := script_of_letter(c):
+                counts[script] += n
+    if plain := len(text.encode("utf-8", "surrogatepass").translate(None, NO_LETTERS)):
+        counts["latin"] += plain
+    return min(counts, key=lambda x: (-counts[x], x)) if counts else "none"
 
 
 def repeat_words(found: list[bytes], n: int = 5) -> int:
@@ -90,7 +105,7 @@ class Fertility:
 
         from .wordcache import WordCache
 
-        self.ids = WordCache(byte_path, False, keep)
+        self.ids = WordCache(byte_path, False, keep, ordinary=True)
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         self.single = {i for i in range(self.pieces.vocab_size()) if self.pieces.is_byte(i) or self.pieces.is_unknown(i)}
         self.fallback: dict[str, int] = {}  # by character; Unicode bounds it
@@ -149,10 +164,10 @@ def fertility_rules(docs: DataFrame, byte_vocabulary: str = "byte_bpe_50k.json",
     empty texts have no words and fail. Ids may be null, rows may repeat, other columns are ignored, an empty table gives no rows.
     """
     importable(docs.sparkSession)
-    byte_path, piece_path, bands = tokenizer_path(byte_vocabulary), tokenizer_path(piece_vocabulary), bands or BANDS
+    bands = bands or BANDS
 
     def measure(batches):
-        vocabularies = _worker(byte_path, piece_path)
+        vocabularies = _worker(tokenizer_path(byte_vocabulary), tokenizer_path(piece_vocabulary))  # where this worker has them
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -192,7 +207,7 @@ def rows(vocabularies: Fertility, ids, texts: list[str], bands: dict[str, Band])
     out: dict[str, list] = {name: [] for name in ARROW.names}
     for i, (text, data) in enumerate(zip(texts, datas, strict=True)):
         n, repeats = int(n_words[i]), repeat_words(data.split()) if i in repeated else 0
-        script, measured = script_of(data), vocabularies.measures(text, int(n_bytes[i]), int(word_chars[i]))
+        script, measured = script_of(text), vocabularies.measures(text, int(n_bytes[i]), int(word_chars[i]))
         failed = n < 10 or 100 * repeats > 20 * n
         row = (None, n, int(word_chars[i]), int(n_symbols[i]), dup_lines(text), repeats, failed, not failed and judged(script, *measured, bands), script, *measured)
         for name, value in zip(out, row, strict=True):

@@ -1,5 +1,6 @@
 """Tokenizer fertility and URL rules."""
 
+import math
 import re
 from collections import Counter
 
@@ -50,7 +51,50 @@ def test_bands():
     assert not fertility.judged("latin", 100, 0.5, 0.0, 6.0, fertility.BANDS)
     assert not fertility.judged("latin", 100, 3.0, 0.5, 6.0, fertility.BANDS)
     assert not fertility.judged("latin", 1000, 3.0, 0.0, 2.0, fertility.BANDS)
-    assert fertility.script_of("привет".encode()) == "cyrillic" and fertility.script_of("日本語".encode()) == "cjk" and fertility.script_of(b"12 !") == "none"
+
+
+def test_scripts():
+    told = {"привет": "cyrillic", "日本語 テスト": "cjk", "12 !": "none", "“—…” 👍 ¼": "none", "Tiếng Việt ế": "latin", "हिन्दी": "devanagari", "שלום": "hebrew", "αβγ": "greek", "ab αβ": "greek", "": "none", "한국어": "cjk"}
+    assert {t: fertility.script_of(t) for t in told} == told
+
+
+def plain_measures(text, tokenizer, model):
+    """What the libraries say word by word and character by character."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    ids = [i for x in w for i in tokenizer.encode(" " + x, add_special_tokens=False).ids]
+    if not ids:
+        return 0, 0.0, 0.0, 0.0
+    alone = lambda c: any(model.is_byte(i) or model.is_unknown(i) for i in model.encode(c))
+    bytes_ = sum(len(c.encode()) for x in w for c in x)
+    share = [n / len(ids) for n in Counter(ids).values()]
+    return len(ids), sum(map(len, w)) / len(ids), sum(len(c.encode()) for x in w for c in x if not c.isspace() and alone(c)) / bytes_, -sum(x * math.log2(x) for x in share)
+
+
+def test_measured_columns_and_verdict(spark, sf):
+    import numpy as np
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    tokenizer, model = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    tokenizer.encode_special_tokens = True
+    odd = [(-1, "日本語 テスト " * 9), (-2, "İstanbul’da “x” — 👍🏽 हिन्दी. " * 4), (-3, None), (-4, "plain words and 12 345 marks!? " * 3), (-5, "x <|endoftext|> y " * 6)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    found = {r.doc_id: r for r in fertility.fertility_rules(docs).collect()}
+    values = {}
+    for r in docs.collect():
+        got, want = found[r.doc_id], plain_measures(r.text or "", tokenizer, model)
+        assert (got.n_tokens, got.script) == (want[0], fertility.script_of(r.text or ""))
+        assert np.allclose((got.chars_per_token, got.fallback_share, got.token_entropy), want[1:])
+        values[r.doc_id] = (round(min(want[1], 100) + 1e-12, 2), round(min(want[0] / max(1, got.n_words), 100) + 1e-12, 2))
+    for script in {r.script for r in found.values()}:
+        own = [d for d, r in found.items() if r.script == script and not r.base_failed]
+        (low, high_), (low_, high) = (np.percentile([values[d][k] for d in own], [25, 75]) if own else (0, 0) for k in (0, 1))
+        for d in own:
+            r, wide = found[d], 1 + math.sqrt(10 / found[d].n_words)
+            fences = values[d][0] >= low - max(1.5 * (high_ - low), 0.25 * low) * wide - 0.02 and values[d][1] <= high + max(1.5 * (high - low_), 0.25 * high) * wide + 0.02
+            band = fertility.judged(script, r.n_tokens, r.chars_per_token, r.fallback_share, r.token_entropy, fertility.BANDS)
+            assert not r.kept or (band and (fences or len(own) < fertility.LEAST_TEXTS))
+            assert r.kept or not band or len(own) >= fertility.LEAST_TEXTS
 
 
 def test_fallback_bytes():
