@@ -49,23 +49,27 @@ def op4_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
-hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM lines),
-rolled AS (
-  SELECT *, (h + 31337 * lag(h, 1, 0) OVER w + 31337 * 31337 * lag(h, 2, 0) OVER w) % 2147483647 % 2 = 0 AS hit
-  FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-stopped AS (SELECT *, hit AND NOT lag(hit, 1, false) OVER (PARTITION BY doc_id ORDER BY i) AND i > 0 AS stop FROM rolled),
-numbered AS (
-  SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
-  FROM stopped),
+full_lines AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h
+  FROM lines WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]')),
+chosen AS (
+  SELECT *, (h + 31337 * lag(h, 1, 0) OVER (PARTITION BY doc_id ORDER BY k)) % 2147483647 % 4 <> 0 AS hit FROM full_lines),
+spans AS (
+  SELECT a.doc_id, a.i AS place, coalesce(min(b.i) FILTER (b.hit), max(b.i)) AS last
+  FROM chosen a JOIN chosen b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k + 1 AND a.k + 7 GROUP BY ALL),
 chunks AS (
-  SELECT doc_id, place, count(*) AS n_lines, count(*) FILTER (regexp_matches(line, '[^ \t\n\x0B\f\r]')) AS n_full,
-    string_agg(line, chr(10) ORDER BY i) AS chunk
-  FROM numbered GROUP BY ALL),
+  SELECT s.doc_id, place, last, string_agg(line, chr(10) ORDER BY i) AS chunk
+  FROM spans s JOIN lines l ON s.doc_id = l.doc_id AND l.i BETWEEN place AND last GROUP BY ALL),
+placed AS (
+  SELECT *, first_value(doc_id) OVER w AS first_id, first_value(place) OVER w AS first_place
+  FROM chunks WINDOW w AS (PARTITION BY chunk ORDER BY doc_id, place)),
+gone AS (SELECT doc_id, place, last FROM placed WHERE NOT (doc_id = first_id AND place <= first_place + last - place)),
 judged AS (
-  SELECT *, n_full >= 2 AND row_number() OVER (PARTITION BY n_full >= 2, chunk ORDER BY doc_id, place) > 1 AS gone FROM chunks)
-SELECT doc_id, sum(n_lines)::BIGINT AS n_lines, coalesce(sum(n_lines) FILTER (gone), 0)::BIGINT AS n_removed_lines,
-  count(*) FILTER (gone) AS n_removed_chunks, sha256(coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
-FROM judged GROUP BY doc_id
+  SELECT l.*, EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = l.doc_id AND l.i BETWEEN g.place AND g.last) AS removed FROM lines l)
+SELECT j.doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed_lines,
+  (SELECT count(*) FROM gone g WHERE g.doc_id = j.doc_id) AS n_removed_chunks,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT removed), '')) AS kept_sha256
+FROM judged j GROUP BY j.doc_id
 """
 
 def op5_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
