@@ -6,7 +6,7 @@ from chunklore.llm.queries import ORACLE, QUERIES
 from . import cases
 from .test_decontaminate import plain as plain_hits
 from .test_linededup import plain as plain_lines
-from .test_simhash import plain as plain_groups
+from .test_similar import plain as plain_groups
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,7 +34,7 @@ def test_each_stage_on_its_own_input(spark, sf):
     assert all(r.n_chars == len(r.text) for r in lined.collect())
 
     single = stage("near_duplicates")(spark, docs, sf)
-    want = {c for _, _, c in plain_groups([(r.doc_id, r.text) for r in before.values()])}
+    want = {c for _, c in plain_groups([(r.doc_id, r.text) for r in before.values()])}
     assert single.columns == COLUMNS and {r.doc_id for r in single.collect()} == want
 
     clean = stage("decontamination")(spark, docs, sf)
@@ -51,6 +51,27 @@ def test_odd_rows(spark, sf, tmp_path):
     assert cp.STAGES[-1][1](spark, docs, sf).count() >= len(cases.rows())
 
 
+def test_columns_that_stages_use_themselves(spark, sf):
+    names = ["doc_id", "text", "lang", "source", "n_chars", "row", "judged", "hits", "n_lines", "n_removed_lines", "n_removed_chunks", "component_id", "stays", "key", "a.b"]
+    rows = [(i, cases.prose(i), "en", "s", 1, *(f"{n}{i}" for n in names[5:])) for i in range(6)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names))
+    for _, f in cp.STAGES[:-1]:
+        out = f(spark, docs, sf)
+        assert out.columns == names and {tuple(r)[5:] for r in out.collect()} == {r[5:] for r in rows}
+
+
+def test_texts_of_one_id_stay(spark, sf):
+    docs = spark.createDataFrame([(7, cases.prose(1)), (7, cases.prose(2)), (7, cases.prose(1)), (8, cases.prose(2)), (None, cases.prose(3)), (None, cases.prose(2))], "doc_id long, text string")
+    assert sorted(cases.collected(cp.near_copies(spark, docs, sf), "doc_id", "text"), key=str) == sorted([(7, cases.prose(1)), (7, cases.prose(2)), (None, cases.prose(3))], key=str)
+
+
+def test_documents_without_a_language_go(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    more = spark.createDataFrame([(-1, None), (-2, ""), (-3, "² ½ ①"), (-4, "12 34 ...")], "doc_id long, text string")
+    kept = {r.doc_id for r in cp.language(spark, docs.unionByName(more, allowMissingColumns=True), sf).collect()}
+    assert not kept & {-1, -2, -3, -4} and len(kept) >= 0.97 * docs.count()
+
+
 def test_run(spark, sf):
     out = cp.run(spark, sf).collect()
     by = {}
