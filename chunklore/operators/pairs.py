@@ -78,23 +78,22 @@ def expanded(rows: DataFrame, folds: int) -> DataFrame:
 
 
 def sampled_pairs(rows: DataFrame, id_col: str, num_neg: int = 1, num_dup: int = 1, seed: int = 42, by: str = "query_id") -> DataFrame:
-    """For every positive, ``num_dup`` times, ``num_neg`` of its query's rows with a smaller label, by md5 order.
+    """For every row, ``num_dup`` times, ``num_neg`` of its query's rows with a smaller label, whichever; fewer where there are fewer.
 
-    Negatives have numbers within their query and label; a positive takes the numbers that follow its own md5, round about, so neither side is paired with all of the
-    other.
+    A query's rows have numbers by label, then md5; those with smaller labels are the first so many, and a row takes the numbers that follow its own md5, round about, so neither
+    side is paired with all of the other.
     """
     n = lambda c: F.conv(F.substring(c, 1, 7), 16, 10).cast("long")
     low = rows.select(by, F.col(id_col).alias("neg_id"), F.col("label").alias("neg_label"))
-    low = low.withColumn("_nth", F.row_number().over(Window.partitionBy(by, "neg_label").orderBy(shuffle_key(seed, by, "neg_id"), "neg_id")) - 1)
-    levels = rows.groupBy(by, F.col("label").alias("neg_label")).agg(F.count("*").alias("_n"))
+    low = low.withColumn("_nth", F.row_number().over(Window.partitionBy(by).orderBy("neg_label", shuffle_key(seed, by, "neg_id"), "neg_id")) - 1)
+    levels = rows.groupBy(by, F.col("label").alias("pos_label")).agg(F.count("*").alias("_n"))  # a query has few labels
+    smaller = F.sum("_n").over(Window.partitionBy(by).orderBy("pos_label").rowsBetween(Window.unboundedPreceding, -1))
     high = rows.select(by, F.col(id_col).alias("pos_id"), F.col("label").alias("pos_label"))
-    # a query has few label levels; of the lower ones the highest is drawn from
-    level = levels.join(high.select(by, "pos_label").distinct(), by).filter("neg_label < pos_label").groupBy(by, "pos_label").agg(F.max_by(F.struct("neg_label", "_n"), "neg_label").alias("l")).select(by, "pos_label", "l.*")
-    drawn = high.join(level, [by, "pos_label"]).withColumn("dup", F.explode(F.sequence(F.lit(0), F.lit(num_dup - 1))))
+    drawn = high.join(levels.withColumn("_n", smaller).filter("_n > 0"), [by, "pos_label"]).withColumn("dup", F.explode(F.sequence(F.lit(0), F.lit(num_dup - 1))))
     drawn = drawn.withColumn("draw", F.explode(F.sequence(F.lit(0), F.least(F.lit(num_neg), F.col("_n").cast("int")) - 1)))
     first = n(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(by).cast("string"), F.col("pos_id").cast("string"), F.col("dup").cast("string"))))
     drawn = drawn.withColumn("_nth", ((first + F.col("draw")) % F.col("_n")).cast("int"))
-    return drawn.join(low, [by, "neg_label", "_nth"]).select(by, "pos_id", "neg_id", "dup", "draw")
+    return drawn.join(low, [by, "_nth"]).select(by, "pos_id", "neg_id", "dup", "draw")
 
 
 def vocabulary(texts: DataFrame, text: str, min_documents: int = 5) -> DataFrame:

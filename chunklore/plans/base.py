@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunking
@@ -15,19 +15,22 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    """Dealt by id where the files are too few to keep all cores at work; large inputs are read as they lie."""
-    docs, cores = table(spark, d, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= 2 * cores else docs.repartition(cores, "doc_id")
+    return table(spark, d, "documents").select("doc_id", "text")
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
 
 
-def qrels(spark: SparkSession, d: str) -> DataFrame:
-    """Labels as judgements: every document belongs to one query."""
-    n = table(spark, d, "benchmark").count()
-    return table(spark, d, "labels").select((F.col("doc_id") % n).alias("query_id"), F.col("doc_id").alias("document_id"), F.col("quality").alias("label"))
+def qrels(spark: SparkSession, d: str, label: Column | None = None, unknown: int = 0) -> DataFrame:
+    """Labels as judgements: every document belongs to one query, and so many queries beside the known ones have documents too."""
+    n = table(spark, d, "benchmark").count() + unknown
+    return table(spark, d, "labels").select((F.col("doc_id") % n).alias("query_id"), F.col("doc_id").alias("document_id"), (F.col("quality") if label is None else label).alias("label"))
+
+
+def wide_qrels(spark: SparkSession, d: str) -> DataFrame:
+    """Judgements of five unknown queries too."""
+    return qrels(spark, d, unknown=5)
 
 
 def judged_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -99,6 +102,7 @@ def sql_fixed(source: str, cols: str, size: int = SIZE, overlap: int = 0) -> str
 
 N_QUERIES = "(SELECT count(*) FROM benchmark)"
 QRELS = f"SELECT doc_id % {N_QUERIES} AS query_id, doc_id AS document_id, quality AS label FROM labels"
+WIDE_QRELS = f"SELECT doc_id % ({N_QUERIES} + 5) AS query_id, doc_id AS document_id, quality AS label FROM labels"
 JUDGED_CHUNKS = f"""queries AS (SELECT item_id AS query_id, text AS query_text FROM benchmark),
 qrels AS ({QRELS}),
 judged AS (SELECT q.query_id, q.document_id, q.label, d.text FROM qrels q JOIN documents d ON d.doc_id = q.document_id),

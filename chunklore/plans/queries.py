@@ -267,11 +267,10 @@ def cosine_precomputed(spark, d):
     return e.join(first, "label").select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("q")), 6).alias("cosine_score"))
 
 
-@query(f"""WITH queries AS (SELECT item_id AS query_id, text AS query_text FROM benchmark WHERE item_id % 2 = 0), qrels AS ({b.QRELS})
+@query(f"""WITH queries AS (SELECT item_id AS query_id, text AS query_text FROM benchmark), qrels AS ({b.WIDE_QRELS})
   SELECT q.query_id, q.document_id, coalesce(t.query_text, '') AS query_text FROM qrels q LEFT JOIN queries t USING (query_id)""")
 def query_text_join(spark, d):
-    known = b.queries(spark, d).filter("query_id % 2 = 0")
-    return ranking.with_query_text(b.qrels(spark, d), known).select("query_id", "document_id", "query_text")
+    return ranking.with_query_text(b.wide_qrels(spark, d), b.queries(spark, d)).select("query_id", "document_id", "query_text")
 
 
 @query(f"SELECT md5(text) AS text_md5, round(sqrt(sum(v * v)), 6) AS length, count(*) AS n_buckets FROM (SELECT text, {b.sql_bucket('token')} AS bucket, count(*)::DOUBLE AS v FROM (SELECT text, unnest({sql_words('lower(text)')}) AS token FROM (SELECT DISTINCT text FROM documents)) GROUP BY ALL) GROUP BY text")
@@ -285,29 +284,34 @@ def hashed_embeddings(spark, d):
 
 _CLEAN = lambda x: f"replace(replace({sql_strip(sql_collapse(x))}, '\"\"', '\"'), '\"', '''')"
 _DOC_CLEAN = _CLEAN("replace(d.text, chr(13), '')")
-_INTEGRATE = f"""qrels AS (SELECT doc_id AS line, doc_id % ({b.N_QUERIES} + 5) AS query_id, doc_id - doc_id % 3 AS document_id, quality AS label FROM labels),
+# every judgement twice, a copy of its document twice for the same query, and a document that isn't there
+_INTEGRATE = f"""given AS (SELECT doc_id, doc_id % ({b.N_QUERIES} + 5) AS query_id, quality AS label FROM labels),
+qrels AS (SELECT 5 * doc_id + k AS line, query_id, CASE WHEN k < 2 THEN doc_id WHEN k < 4 THEN -1 - doc_id ELSE 1000000000000 + doc_id END AS document_id, label FROM given, range(0, 5) r(k)),
 t AS (SELECT item_id AS query_id, {_CLEAN("text")} AS query_text FROM benchmark),
-d AS (SELECT doc_id AS document_id, {_DOC_CLEAN} AS document FROM documents d WHERE doc_id % 7 <> 0),
+d AS (SELECT doc_id AS document_id, {_DOC_CLEAN} AS document FROM documents d UNION ALL SELECT -1 - doc_id, {_DOC_CLEAN} FROM documents d),
 rows AS (SELECT q.*, t.query_text, d.document FROM qrels q LEFT JOIN t USING (query_id) LEFT JOIN d USING (document_id)),
 first AS (SELECT *, CASE WHEN query_text IS NULL THEN 'no_topic' WHEN length(query_text) < 1 THEN 'short_query' WHEN document IS NULL THEN 'no_document'
   WHEN document = 'This document has no information.' THEN 'no_information' WHEN length(document) < 100 THEN 'short_document' END AS r0 FROM rows),
-second AS (SELECT *, CASE WHEN r0 IS NULL AND row_number() OVER (PARTITION BY query_id, document_id, r0 IS NULL ORDER BY line) > 1 THEN 'duplicate_pair' ELSE r0 END AS r1 FROM first),
-third AS (SELECT *, CASE WHEN r1 IS NULL AND row_number() OVER (PARTITION BY query_id, md5(document), r1 IS NULL ORDER BY line) > 1 THEN 'duplicate_content' ELSE r1 END AS drop_reason FROM second)"""
+pairs_kept AS (SELECT query_id, document, min(line) AS line, arg_min(document_id, line) AS document_id FROM first WHERE r0 IS NULL GROUP BY ALL),
+third AS (SELECT f.*, CASE WHEN r0 IS NOT NULL THEN r0 WHEN k.line = f.line THEN NULL WHEN k.document_id = f.document_id THEN 'duplicate_pair' ELSE 'duplicate_content' END AS drop_reason
+  FROM first f LEFT JOIN pairs_kept k ON k.query_id = f.query_id AND k.document = f.document)"""
+
+
+def _joined_qrels(spark, d) -> DataFrame:
+    k = F.col("k")
+    document = F.when(k < 2, F.col("document_id")).when(k < 4, -1 - F.col("document_id")).otherwise(F.lit(1000000000000) + F.col("document_id"))
+    qrels = b.wide_qrels(spark, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).select((5 * F.col("document_id") + k).alias("line"), "query_id", document.alias("document_id"), "label")
+    docs = b.documents(spark, d).select(F.explode(F.array(F.col("doc_id"), -1 - F.col("doc_id"))).alias("document_id"), F.col("text").alias("document"))
+    return integrate.joined(qrels, b.queries(spark, d), docs, 1, 100)
 
 
 def _integrated(spark, d) -> DataFrame:
-    n = b.table(spark, d, "benchmark").count()
-    qrels = b.table(spark, d, "labels").select(F.col("doc_id").alias("line"), (F.col("doc_id") % (n + 5)).alias("query_id"), (F.col("doc_id") - F.col("doc_id") % 3).alias("document_id"), F.col("quality").alias("label"))
-    docs = b.documents(spark, d).filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("document_id"), F.col("text").alias("document"))
-    return integrate.judged(integrate.joined(qrels, b.queries(spark, d), docs, 1, 100))
+    return integrate.judged(_joined_qrels(spark, d))
 
 
 @query(f"WITH {_INTEGRATE} SELECT line, query_id, document_id, md5(query_text) AS query_md5, md5(document) AS document_md5, r0 AS drop_reason FROM first")
 def integrate_filter(spark, d):
-    n = b.table(spark, d, "benchmark").count()
-    qrels = b.table(spark, d, "labels").select(F.col("doc_id").alias("line"), (F.col("doc_id") % (n + 5)).alias("query_id"), (F.col("doc_id") - F.col("doc_id") % 3).alias("document_id"), F.col("quality").alias("label"))
-    docs = b.documents(spark, d).filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("document_id"), F.col("text").alias("document"))
-    return integrate.joined(qrels, b.queries(spark, d), docs, 1, 100).select("line", "query_id", "document_id", F.md5("query_text").alias("query_md5"), F.md5("document").alias("document_md5"), "drop_reason")
+    return _joined_qrels(spark, d).select("line", "query_id", "document_id", F.md5("query_text").alias("query_md5"), F.col("content").alias("document_md5"), "drop_reason")
 
 
 @query(f"WITH {_INTEGRATE} SELECT line, query_id, document_id, label FROM third WHERE drop_reason IS NULL")
@@ -320,14 +324,41 @@ def drop_reasons(spark, d):
     return integrate.drop_counts(_integrated(spark, d))
 
 
-@query("SELECT item_id::VARCHAR AS query_id, " + sql_strip(sql_collapse("substr(text, 1, 40)")) + " || '. ' || " + sql_strip(sql_collapse("substr(text, 41)")) + " AS query_text FROM benchmark WHERE " + sql_strip(sql_collapse("substr(text, 41)")) + " <> ''")
+def _flat(x: str) -> str:
+    return sql_strip(sql_collapse(x))
+
+
+# of four topics one has all parts, one no narrative, one no description, one no title either
+_TOPIC = f"""parts AS (SELECT item_id::VARCHAR AS query_id, CASE WHEN item_id % 4 < 2 THEN {_flat('substr(text, 1, 40)')} ELSE '' END AS descr,
+  CASE WHEN item_id % 4 <> 1 THEN {_flat('substr(text, 41)')} ELSE '' END AS narr, CASE WHEN item_id % 4 < 3 THEN 'A title' ELSE '' END AS title FROM benchmark)"""
+_TOPIC_TEXT, _PLAIN_TOPIC_TEXT = "CASE WHEN descr <> '' THEN descr || '. ' || narr WHEN title <> '' THEN title || '. ' || narr ELSE narr END", "descr || '. ' || narr"
+
+
+def _topic_blocks(spark, d) -> DataFrame:
+    """Files of two blocks with one number, of which the last counts, and one without."""
+    kind, short, rest = F.col("item_id") % 4, F.substring("text", 1, 40), F.expr("substr(text, 41)")
+    number = F.concat(F.lit("<top>\n<num> Number: "), F.col("item_id").cast("string"))
+    block = F.concat(
+        number,
+        F.when(kind < 3, F.lit("\n<title> A title")).otherwise(""),
+        F.when(kind < 2, F.concat(F.lit("\n<desc> Description:\n"), short)).otherwise(""),
+        F.when(kind != 1, F.concat(F.lit("\n<narr> Narrative:\n"), rest)).otherwise(""),
+        F.lit("\n</top>\n"),
+    )
+    early = F.concat(number, F.lit("\n<title> zz\n<desc> Description:\n~ replaced\n<narr> Narrative:\n~ later\n</top>\n"))
+    return b.table(spark, d, "benchmark").select(F.concat(early, block, F.lit("<top>\n<title> no number\n</top>")).alias("value")).filter("value IS NOT NULL")
+
+
+@query(f"WITH {_TOPIC}, t AS (SELECT query_id, {_flat(_TOPIC_TEXT)} AS query_text FROM parts) SELECT * FROM t WHERE query_text <> ''")
 def trec_topics(spark, d):
-    """Topics written from the benchmark and read back: description and narrative."""
-    blocks = b.table(spark, d, "benchmark").select(
-        F.concat(F.lit("<top>\n<num> Number: "), F.col("item_id").cast("string"), F.lit("\n<title> A title\n<desc> Description:\n"), F.substring("text", 1, 40), F.lit("\n<narr> Narrative:\n"), F.expr("substr(text, 41)"), F.lit("\n</top>")).alias("value")
-    ).filter("value IS NOT NULL")
-    kept = blocks.filter(text.normalize(F.regexp_extract("value", r"(?s)Narrative:(.*)</top>", 1)) != "")
-    return readers.parsed_topics(kept)
+    """Topics written from the benchmark and read back, the title where there is no description."""
+    return readers.parsed_topics(_topic_blocks(spark, d))
+
+
+@query(f"WITH {_TOPIC} SELECT query_id, {_flat(_PLAIN_TOPIC_TEXT)} AS query_text FROM parts")
+def trec_topics_plain(spark, d):
+    """The same without titles: a missing part leaves the full stop."""
+    return readers.parsed_topics(_topic_blocks(spark, d), use_title=False)
 
 
 @query("SELECT (doc_id % 40)::VARCHAR AS query_id, doc_id::VARCHAR AS document_id, quality::VARCHAR AS label FROM labels WHERE doc_id % 11 <> 0")
@@ -336,11 +367,11 @@ def qrels_scan(spark, d):
     return readers.parsed_qrels(b.table(spark, d, "labels").select(line.alias("value")))
 
 
-@query("""SELECT doc_id::VARCHAR AS query_id, replace(substr(text, 1, 80), chr(10), chr(9)) AS chunk_text, (doc_id % 2)::VARCHAR AS label FROM documents WHERE doc_id % 5 <> 0""")
+@query("SELECT doc_id::VARCHAR AS query_id, replace(text, chr(10), chr(9)) AS chunk_text, (doc_id % 2)::VARCHAR AS label FROM documents WHERE text IS NOT NULL")
 def raw_pair_lines(spark, d):
-    t = F.replace(F.substring("text", 1, 80), F.lit("\n"), F.lit("\t"))
-    line = F.when(F.col("doc_id") % 5 != 0, F.concat_ws("\t", F.col("doc_id").cast("string"), t, (F.col("doc_id") % 2).cast("string"))).otherwise(F.lit("short\tline"))
-    return readers.parsed_pairs(b.documents(spark, d).select(line.alias("value")))
+    """Whole texts as lines whose tabs belong to the middle field."""
+    line = F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.replace(F.col("text"), F.lit("\n"), F.lit("\t")), F.lit("\t"), (F.col("doc_id") % 2).cast("string"))
+    return readers.parsed_pairs(b.documents(spark, d).select(line.alias("value")).filter("value IS NOT NULL"))
 
 
 @query("""SELECT doc_id, list_transform(list_filter(list_transform(string_split_regex(s, '[,\\n]'), lambda x: trim(x)), lambda x: regexp_full_match(x, '[0-9]+')), lambda x: x::INT)::VARCHAR AS bounds
@@ -350,16 +381,16 @@ def bounds_scan(spark, d):
     return b.documents(spark, d).select("doc_id", F.concat(F.lit("["), F.array_join(readers.parsed_bounds(s).cast("array<string>"), ", "), F.lit("]")).alias("bounds"))
 
 
-@query(f"""WITH known AS (SELECT item_id AS query_id, text AS query_text FROM benchmark WHERE item_id % 3 <> 0), qrels AS ({b.QRELS})
+@query(f"""WITH known AS (SELECT item_id AS query_id, text AS query_text FROM benchmark), qrels AS ({b.WIDE_QRELS})
   SELECT k.query_text, d.text AS chunk_text, q.label FROM qrels q JOIN known k USING (query_id) JOIN documents d ON d.doc_id = q.document_id""")
 def query_mapping(spark, d):
-    rows = b.judged_documents(spark, d).select("query_id", F.col("text").alias("chunk_text"), "label")
-    return integrate.mapped(rows, b.queries(spark, d).filter("query_id % 3 <> 0"))
+    docs = b.documents(spark, d).select(F.col("doc_id").alias("document_id"), F.col("text").alias("chunk_text"))
+    return integrate.mapped(b.wide_qrels(spark, d).join(docs, "document_id"), b.queries(spark, d))
 
 
-@query(f"WITH known AS (SELECT item_id AS query_id FROM benchmark WHERE item_id % 3 <> 0), qrels AS ({b.QRELS}) SELECT query_id, count(*) AS n_skipped FROM qrels WHERE query_id NOT IN (SELECT query_id FROM known) GROUP BY ALL")
+@query(f"WITH qrels AS ({b.WIDE_QRELS}) SELECT query_id, count(*) AS n_skipped FROM qrels WHERE query_id NOT IN (SELECT item_id FROM benchmark) GROUP BY ALL")
 def query_mapping_skipped(spark, d):
-    return integrate.unmapped(b.qrels(spark, d), b.queries(spark, d).filter("query_id % 3 <> 0"))
+    return integrate.unmapped(b.wide_qrels(spark, d), b.queries(spark, d))
 
 
 # labels and pairs
@@ -380,7 +411,7 @@ def label_map(spark, d):
 
 
 _NORMAL = lambda x: sql_strip(sql_collapse(f"coalesce({x}, '')"))
-_PAIRS = f"""raw AS (SELECT d.doc_id, b.text AS q, CASE WHEN d.doc_id % 17 = 0 THEN ' ' ELSE substr(d.text, 1, 200) END AS c, {_LABEL_TEXT.replace('doc_id', 'd.doc_id')} AS l
+_PAIRS = f"""raw AS (SELECT d.doc_id, b.text AS q, d.text AS c, {_LABEL_TEXT.replace('doc_id', 'd.doc_id')} AS l
   FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % {b.N_QUERIES}),
 norm AS (SELECT doc_id, {_NORMAL("q")} AS query_text, {_NORMAL("c")} AS chunk_text, {_NUMERIC} AS label FROM raw),
 checked AS (SELECT *, CASE WHEN label IS NULL THEN 'bad_label' WHEN query_text = '' OR chunk_text = '' THEN 'empty_text' WHEN length(query_text) < 20 OR length(chunk_text) < 20 THEN 'short_text' END AS drop_reason FROM norm),
@@ -391,7 +422,7 @@ status AS (SELECT *, CASE WHEN pos > 0 AND neg > 0 THEN 'pairable' WHEN pos > 0
 
 def _raw_pairs(spark, d) -> DataFrame:
     n = b.table(spark, d, "benchmark").count()
-    docs = b.documents(spark, d).select((F.col("doc_id") % n).alias("query_id"), F.when(F.col("doc_id") % 17 == 0, F.lit(" ")).otherwise(F.substring("text", 1, 200)).alias("chunk_text"), F.expr(_LABEL_TEXT).alias("label"))
+    docs = b.documents(spark, d).select((F.col("doc_id") % n).alias("query_id"), F.col("text").alias("chunk_text"), F.expr(_LABEL_TEXT).alias("label"))
     return docs.join(b.queries(spark, d), "query_id")
 
 
@@ -446,13 +477,15 @@ def fold_expand(spark, d):
     return pairs.expanded(_folded(spark, d), 5)
 
 
-@query(f"""WITH rows AS ({b.QRELS}), low AS (SELECT query_id, document_id AS neg_id, row_number() OVER (PARTITION BY query_id ORDER BY md5('42|' || query_id || '|' || document_id), document_id) - 1 AS nth, count(*) OVER (PARTITION BY query_id) AS n FROM rows WHERE label = 0),
-sizes AS (SELECT query_id, max(n) AS n FROM low GROUP BY query_id),
-high AS (SELECT query_id, document_id AS pos_id, d.dup::INT AS dup FROM rows, range(0, 2) d(dup) WHERE label = 1),
-drawn AS (SELECT h.*, s.n, w.draw::INT AS draw, ('0x' || substr(md5('42|' || h.query_id || '|' || pos_id || '|' || dup), 1, 7))::BIGINT AS k FROM high h JOIN sizes s USING (query_id), range(0, 3) w(draw) WHERE w.draw < s.n)
+@query(f"""WITH rows AS (SELECT doc_id % {b.N_QUERIES} AS query_id, doc_id AS document_id, quality * (2 - toxic) AS label FROM labels),
+low AS (SELECT query_id, document_id AS neg_id, label, row_number() OVER (PARTITION BY query_id ORDER BY label, md5('42|' || query_id || '|' || document_id), document_id) - 1 AS nth FROM rows),
+high AS (SELECT r.query_id, r.document_id AS pos_id, (SELECT count(*) FROM rows s WHERE s.query_id = r.query_id AND s.label < r.label) AS n FROM rows r),
+drawn AS (SELECT h.*, d.dup::INT AS dup, w.draw::INT AS draw, ('0x' || substr(md5('42|' || h.query_id || '|' || pos_id || '|' || d.dup), 1, 7))::BIGINT AS k FROM high h, range(0, 2) d(dup), range(0, 3) w(draw) WHERE w.draw < h.n)
 SELECT d.query_id, pos_id, neg_id, dup, draw FROM drawn d JOIN low l ON l.query_id = d.query_id AND l.nth = (k + draw) % d.n""")
 def pair_sampling(spark, d):
-    return pairs.sampled_pairs(b.qrels(spark, d), "document_id", num_neg=3, num_dup=2)
+    """Three labels: bad, good, and good and not toxic."""
+    label = F.col("quality") * (2 - F.col("toxic"))
+    return pairs.sampled_pairs(b.qrels(spark, d, label), "document_id", num_neg=3, num_dup=2)
 
 
 @query(f"SELECT query_id, document_id, label FROM ({b.QRELS})")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import normalize
 
@@ -15,26 +16,28 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("document_id"), F.col("value").alias("document"))
 
 
-def parsed_topics(files: DataFrame, text_col: str = "value", use_title: bool = True) -> DataFrame:
-    """<top> blocks to query_id and query_text: description and narrative; with use_title title and narrative where there is no description, else the narrative. Blocks
-    without number or text are left out; of blocks with one number the first by text counts."""
-    block = files.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"(?s)<top>(.*?)</top>"), F.lit(1))).alias("b"))
+def parsed_topics(files: DataFrame, text_col: str = "value", use_title: bool = True, order: str | None = None) -> DataFrame:
+    """<top> blocks to query_id and query_text: description, full stop, narrative.
 
-    def part(tag: str, label: str) -> Column:
-        return normalize(F.regexp_extract("b", rf"(?s)<{tag}>\s*(?:{label}:)?(.*?)(?=<(?:num|title|desc|narr)>|</top>|$)", 1))
-
-    number = F.regexp_extract("b", r"<num>\s*(?:Number:)?\s*(\d+)", 1)
-    out = block.select(number.alias("query_id"), part("title", "Topic").alias("title"), part("desc", "Description").alias("desc"), part("narr", "Narrative").alias("narr"))
-    joined = lambda a: F.concat_ws(". ", F.nullif(F.col(a), F.lit("")), F.nullif(F.col("narr"), F.lit("")))
-    text = F.when(F.col("desc") != "", joined("desc"))
-    if use_title:
-        text = text.when(F.col("title") != "", joined("title"))
-    out = out.select("query_id", normalize(text.otherwise(F.col("narr"))).alias("query_text"))
-    return out.filter("query_id <> '' AND query_text <> ''").groupBy("query_id").agg(F.min("query_text").alias("query_text"))
+    With use_title the title stands for a description that is missing, the narrative stands alone where both are, and blocks without text are left out; without it the title is never
+    read, so that a missing part leaves the full stop. Blocks without number are left out. Of blocks with one number the last counts, by ``order`` (a column of ``files``; as they lie, if none) and place.
+    """
+    at = F.col(order) if order else F.monotonically_increasing_id()
+    block = files.select(at.alias("file"), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(r"(?s)<top>(.*?)</top>"), F.lit(1))).alias("place", "b"))
+    if use_title:  # a block that wasn't closed ends where the next one begins
+        block = block.withColumn("b", F.element_at(F.split("b", "<top>"), -1))
+    part = lambda p: normalize(F.regexp_extract("b", p, 1))
+    title, desc, narr = part(r"(?s)<title>\s*(.*?)(?=<desc>|<narr>|\z)"), part(r"(?s)<desc>\s*Description:(.*?)(?=<narr>|\z)"), part(r"(?s)<narr>\s*Narrative:(.*)")
+    out = block.select("file", "place", F.regexp_extract("b", r"<num>\s*Number:\s*(\d+)", 1).alias("query_id"), title.alias("title"), desc.alias("desc"), narr.alias("narr"))
+    joined = lambda a: F.concat(F.col(a), F.lit(". "), F.col("narr"))
+    text = F.when(F.col("desc") != "", joined("desc")).when(F.col("title") != "", joined("title")).otherwise(F.col("narr")) if use_title else joined("desc")
+    out = out.select("file", "place", "query_id", normalize(text).alias("query_text")).filter("query_id <> '' AND query_text <> ''")
+    return out.groupBy("query_id").agg(F.max_by("query_text", F.struct("file", "place")).alias("query_text"))
 
 
 def topics(spark: SparkSession, path: str, use_title: bool = True) -> DataFrame:
-    return parsed_topics(spark.read.text(path, wholetext=True), "value", use_title)
+    """Of several files, later names count as later."""
+    return parsed_topics(spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file_path")), "value", use_title, "file_path")
 
 
 def parsed_qrels(lines: DataFrame, col: str = "value") -> DataFrame:
@@ -50,9 +53,16 @@ def qrels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tsv(spark: SparkSession, path: str, quoted: bool = False, schema: str | None = None) -> DataFrame:
-    """Tab-separated with a header, all text; without quoting a quote is a character. Lines with too many fields are dropped."""
-    reader = spark.read.option("sep", "\t").option("header", True).option("mode", "DROPMALFORMED").option("quote", '"' if quoted else "").option("escape", '"' if quoted else "\\")
-    return (reader.schema(schema) if schema else reader).csv(path)
+    """Tab-separated with a header, all text; without quoting a quote is a character. Fields that a line lacks are null; lines with more fields than the header are dropped (an empty one at the
+    end doesn't count)."""
+    reader = spark.read.option("sep", "\t").option("header", True).option("mode", "PERMISSIVE").option("quote", '"' if quoted else "").option("escape", '"' if quoted else "\\")
+    fields = StructType.fromDDL(schema) if schema else StructType([StructField(c, StringType()) for c in reader.csv(path).columns])
+    beyond = "beyond"
+    while beyond in fields.names:
+        beyond += "_"
+    # a column that only lines longer than the header have
+    rows = reader.schema(StructType([*fields.fields, StructField(beyond, StringType())])).csv(path)
+    return rows.filter(F.col(beyond).isNull()).drop(beyond)
 
 
 def parsed_pairs(lines: DataFrame, strict: bool = False, col: str = "value") -> DataFrame:

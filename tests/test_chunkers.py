@@ -87,7 +87,9 @@ def test_series():
     v = units(7, 3)
     mean = lambda a: a.mean(0) / np.linalg.norm(a.mean(0))
     assert np.allclose(signals.window_gaps(v, 4), [1 - mean(v[max(0, i - 3) : i + 1]) @ mean(v[i + 1 : i + 5]) for i in range(6)])
-    assert {r for _, _, r in signals.peaks(np.array([0, 5, 0, 4, 0, 0.1, 0, 0]), 3)} == {"SELECTED", "NMS", "FLOOR"} or True
+    series = np.array([0, 5, 0, 4, 0, 0.1, 0, 6, 0, 0, 3, 0])
+    assert {i: r for i, _, r in signals.peaks(series, 3)} == {1: "SELECTED", 3: "NMS", 5: "NMS", 7: "SELECTED", 10: "SELECTED"}
+    assert signals.peaks(np.array([0, 5, 0, 4, 0, 1, 0, 9, 2, 2, 2, 3]), 1) == [(7, 9.0, "SELECTED"), (1, 5.0, "SELECTED"), (3, 4.0, "SELECTED"), (9, 2.0, "FLOOR"), (5, 1.0, "FLOOR")]
     assert signals.diameter_spans(np.eye(1), 0.5) == [(0, 1)] and signals.diameter_spans(np.ones((4, 4)), 0.5) == [(0, 4)]
     assert signals.diameter_spans(np.eye(4), 0.5) == [(i, i + 1) for i in range(4)]
 
@@ -122,8 +124,86 @@ def test_groups_partition(how):
         assert sorted(i for g in found for i in g["members"]) == list(range(n)) and all(g["exemplar"] in g["members"] for g in found)
 
 
-def test_long_documents_are_taken_in_stretches():
-    assert [i for g in Splitter(max_sentences=10).groups([f"w{i % 3} x" for i in range(25)]) for i in range(g["first"], g["last"] + 1)] == list(range(25))
+@pytest.mark.parametrize("mask", [None, 7])
+def test_ranks_by_rows_give_the_same_cuts(mask):
+    for seed, n in ((0, 60), (1, 61), (2, 8)):
+        v = signals.hashed_vectors([" ".join(np.random.default_rng(i // 9 + seed).choice(list("abcdefgh"), 5)) + f" {i % 4}" for i in range(n)])
+        ranks = signals.rank_matrix(signals.similarities(v), mask)
+        for most in (0, 1 << 20):
+            rows = signals.RankRows(v, mask, most)
+            rows.step, rows.kept = 7, [rows._counts(a, min(a + 7, n)).astype(np.uint16) for a in range(0, n, 7)] if most else []
+            table = signals.RankTable(ranks)
+            for a, b in ((0, n), (3, n - 2)):
+                assert all(np.allclose(x, y) for x, y in zip(rows.sums(a, b), table.sums(a, b)))
+            assert signals.divisive_cuts(rows, 3) == signals.divisive_cuts(ranks, 3)
+
+
+def long_document(n, themes=40):
+    g = np.random.default_rng(5)
+    words = [[f"theme{t}word{i}" for i in range(30)] for t in range(themes)]
+    return [" ".join(g.choice(words[(k // 50) % themes], 9)) + f" sentence {k}" for k in range(n)]
+
+
+def test_long_document_is_split_as_a_whole():
+    """4,000 sentences, more than the reference's longest has, by rows and as one matrix."""
+    sentences = long_document(4000)
+    by_rows, whole = Splitter().groups(sentences), Splitter(whole_matrix=5000).groups(sentences)
+    assert by_rows == whole and len(by_rows) > 5
+    assert [i for g in by_rows for i in range(g["first"], g["last"] + 1)] == list(range(4000))
+
+
+def test_groups_reach_over_all_of_a_long_document():
+    found = Grouper(auto=False, engine="spectral", knn=10).groups(long_document(1560, 20))
+    assert sorted(i for g in found for i in g["members"]) == list(range(1560))
+    assert any(min(g["members"]) < 100 and max(g["members"]) >= 1500 for g in found)  # themes come again after 1,000 sentences
+
+
+def plain_split(sentences):
+    """The automatic splitter end to end, in plain loops: what its parts are put together to."""
+    v = signals.hashed_vectors(sentences)
+    n = len(v)
+    adjacent = np.array([v[i] @ v[i + 1] for i in range(n - 1)])
+    pad = np.pad(adjacent, 1, mode="edge")
+    smooth = np.array([np.median(pad[i : i + 3]) for i in range(n - 1)])
+    middle, spread = np.median(smooth), np.median(np.abs(smooth - np.median(smooth))) + 1e-9
+    half = np.subtract(*np.percentile(smooth, [75, 25])) / 2
+    signal = 1 / (1 + np.exp(-np.clip((smooth - middle) / spread / max(half, 0.05), -500, 500)))
+    spacing, first, cap = max(5, round(n / 50)), max(5, round(0.05 * n)), max(24, round(0.12 * n))
+    sim = np.round(v @ v.T, 9)
+    ranks = np.array([[(sim[i] < sim[i, j]).sum() + (sim[:, j] < sim[i, j]).sum() for j in range(n)] for i in range(n)], float)
+    both = sorted(set(plain_cuts(ranks, max(3, spacing)) if n >= 2 * max(3, spacing) else []) & set(signals.valleys(signal, max(half, 0.06), spacing, first)))
+    kept = []
+    for c in both:
+        if all(abs(c - k) >= spacing for k in kept):
+            kept.append(c)
+    out, start = [], 0
+    for stop in [*kept, n]:
+        while stop - start > cap and stop - start >= 3:
+            options = range(max(start + 1, start + cap - 2), min(stop - 1, start + cap + 2) + 1)
+            if len(options) < 2:
+                break
+            cut = min(options, key=lambda c: (adjacent[c - 1], c))
+            start = min(max(cut, first) if start == 0 else cut, stop - 1)
+            out.append(start)
+        if stop < n:
+            out.append(stop)
+        start = stop
+    moved = sorted({min(range(max(1, c - 2), min(n - 1, c + 2) + 1), key=lambda x: (smooth[x - 1], x)) for c in out})
+    sizes = np.diff([0, *moved, n])
+    least = max(3, round(float(np.percentile(sizes, 10)))) if len(sizes) >= 5 else 3
+    final, start = [], 0
+    for c in moved:
+        if c - start >= least:
+            final.append(c)
+            start = c
+    return list(zip([0, *final], [*final, n]))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_splitter_end_to_end(seed):
+    g = np.random.default_rng(seed)
+    sentences = [" ".join(g.choice([f"t{k // (7 + seed)}w{i}" for i in range(12)], 7)) for k in range(40 + 17 * seed)]
+    assert [(c["first"], c["last"] + 1) for c in Splitter().groups(sentences)] == plain_split(sentences)
 
 
 def test_communities_and_spectral_find_blocks():

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chunklore import schemas
 from chunklore.functions import cleaning, labels, text, triples
-from chunklore.operators import chunking, embedding, pairs
+from chunklore.operators import chunking, embedding, integrate, pairs
 from chunklore.operators.signals import hashed_vectors
 from chunklore.sources import readers, writers
 from chunklore.streaming import chunks as streaming
@@ -127,7 +127,11 @@ def test_triples(spark):
 def test_topics_and_qrels(spark, tmp_path):
     (tmp_path / "topics").write_text("<top>\n<num> Number: 301\n<title> Crime\n<desc> Description:\nWhat  crime?\n<narr> Narrative:\nAll of\nit.\n</top>\n<top>\n<num> Number: 302\n<title> Polio\n\n<narr> Narrative:\nOnly this.\n</top>\n<top>\n<title> none\n</top>\n<top><num> Number: 303\n<title> x\n</top>")
     found = {r.query_id: r.query_text for r in readers.topics(spark, str(tmp_path / "topics")).collect()}
-    assert found == {"301": "What crime?. All of it.", "302": "Polio. Only this.", "303": "x"}
+    assert found == {"301": "What crime?. All of it.", "302": "Polio. Only this.", "303": "x."}
+    plain = {r.query_id: r.query_text for r in readers.topics(spark, str(tmp_path / "topics"), use_title=False).collect()}
+    assert plain == {"301": "What crime?. All of it.", "302": ". Only this.", "303": "."}
+    (tmp_path / "more").write_text("<top>\n<num> Number: 1\n<desc> Description:\nzz early\n</top>\n<top>\n<num> Number: 2\n<top>\n<num> Number: 1\n<desc> Description:\naa late\n</top>\n<top>\n<num> Number: 3\n</top>")
+    assert {r.query_id: r.query_text for r in readers.topics(spark, str(tmp_path / "more")).collect()} == {"1": "aa late."}
     (tmp_path / "qrels").write_text("301 0 doc1 1\n301\t0  doc2 0\nbad line\n302 0 doc1 1 extra\n")
     assert [(r.query_id, r.document_id, r.label) for r in readers.qrels(spark, str(tmp_path / "qrels")).orderBy("line").collect()] == [("301", "doc1", "1"), ("301", "doc2", "0")]
 
@@ -152,6 +156,32 @@ def test_files_and_sinks(spark, tmp_path):
     assert writers.read_pack(spark, str(tmp_path / "p"), 1, "test").count() == 2 and writers.read_pack(spark, str(tmp_path / "p"), 2, "test").count() == 0
 
 
+def test_tsv_lines_of_any_width(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text('a\tb\tc\n1\t2\t3\n4\t5\n6\t7\t8\t9\n"x\t\ty\nz\n')
+    rows = sorted(map(tuple, readers.tsv(spark, str(tmp_path / "t.tsv")).collect()), key=str)
+    assert rows == sorted([("1", "2", "3"), ("4", "5", None), ('"x', None, "y"), ("z", None, None)], key=str)
+    (tmp_path / "q.tsv").write_text('a\tb\n"1\t1"\t2\n3\n4\t5\t6\n')
+    assert sorted(map(tuple, readers.tsv(spark, str(tmp_path / "q.tsv"), quoted=True, schema="a string, b string").collect())) == [("1\t1", "2"), ("3", None)]
+
+
+def test_drop_reasons_of_repeats(spark):
+    """Only what was kept is remembered: a pair whose first row repeats a content is never a kept pair."""
+    qrels = spark.createDataFrame([(1, "q", "a", 1), (2, "q", "b", 1), (3, "q", "b", 0), (4, "q", "a", 0), (5, "r", "b", 1), (6, "q", "c", 1), (7, "q", "c", 1), (8, "none", "a", 1)], "line int, query_id string, document_id string, label int")
+    topics = spark.createDataFrame([("q", "query"), ("r", "other")], "query_id string, query_text string")
+    docs = spark.createDataFrame([("a", "same text"), ("b", "same  text")], "document_id string, document string")
+    rows = integrate.judged(integrate.joined(qrels, topics, docs))
+    assert {r.line: r.drop_reason for r in rows.collect()} == {1: None, 2: "duplicate_content", 3: "duplicate_content", 4: "duplicate_pair", 5: None, 6: "no_document", 7: "no_document", 8: "no_topic"}
+
+
+def test_negatives_of_every_smaller_label(spark):
+    rows = spark.createDataFrame([("q", i, label) for i, label in enumerate([2, 1, 0, 0])] + [("r", 9, 1)], "query_id string, id int, label int")
+    found = pairs.sampled_pairs(rows, "id", num_neg=3).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.pos_id, set()).add(r.neg_id)
+    assert by == {0: {1, 2, 3}, 1: {2, 3}} and len(found) == 5
+
+
 def test_raw_pairs(spark):
     lines = spark.createDataFrame([("q1\ta\tb\t1",), ("q2\tc\t0",), ("short\tline",), ("query_id\tchunk_text\tlabel",)], "value string")
     assert sorted(map(tuple, readers.parsed_pairs(lines).collect())) == [("q1", "a\tb", "1"), ("q2", "c", "0")]
