@@ -17,6 +17,22 @@ class Embedder(Protocol):
         """array<double> of a text."""
 
 
+def dot_of_counts(found: Column, vector: Column) -> Column:
+    """Of the counts of these buckets with a vector."""
+    return F.aggregate(found, F.lit(0.0), lambda s, b: s + F.get(vector, b))
+
+
+def norm_of_counts(found: Column) -> Column:
+    """Length of the counts of these buckets, which are sorted: c equal ones in a row add 1 + 3 + ... + (2c - 1)."""
+    start = F.struct(F.lit(-1).alias("b"), F.lit(0).alias("k"), F.lit(0.0).alias("s"))
+
+    def step(acc: Column, b: Column) -> Column:
+        k = F.when(acc["b"] == b, acc["k"] + 1).otherwise(1)
+        return F.struct(b.alias("b"), k.alias("k"), (acc["s"] + 2 * k - 1).alias("s"))
+
+    return F.sqrt(F.aggregate(found, start, step, lambda acc: acc["s"]))
+
+
 class Hashed:
     """Counts of lower-cased words by bucket: the first 16 bits of a word's md5, modulo the number of buckets."""
 
@@ -26,10 +42,17 @@ class Hashed:
     def bucket(self, token: Column) -> Column:
         return (F.conv(F.substring(F.md5(token), 1, 4), 16, 10).cast("int") % self.buckets).cast("int")
 
-    def vector(self, text: Column) -> Column:
-        found = F.transform(words(F.lower(F.coalesce(text, F.lit("")))), self.bucket)
+    def found(self, tokens: Column) -> Column:
+        """The bucket of every token, sorted."""
+        return F.array_sort(F.transform(tokens, self.bucket))
+
+    def counted(self, found: Column) -> Column:
+        """array<double>: how often each bucket comes."""
         return F.transform(F.sequence(F.lit(0), F.lit(self.buckets - 1)), lambda b: F.size(F.filter(found, lambda x: x == b)).cast("double"))
 
+    def vector(self, text: Column) -> Column:
+        return F.transform(F.array(self.found(words(F.lower(F.coalesce(text, F.lit("")))))), self.counted)[0]
+
 
 class Precomputed:
     """Vectors of a table (text, vector)."""

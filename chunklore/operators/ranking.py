@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from .embedding import Hashed, sparse
+from ..functions.vectors import norm
+from .embedding import Hashed, dot_of_counts, norm_of_counts
 
 K1, B, EPSILON, RRF_K, PLACES = 1.5, 0.75, 0.25, 60, 9
 KEYS = ["query_id", "document_id", "chunk_index"]
@@ -19,35 +20,54 @@ def _tokens(text: str) -> Column:
     return words(F.lower(F.coalesce(F.col(text), F.lit(""))))
 
 
+def scored(chunks: DataFrame, queries: DataFrame, keys: list[str] = KEYS, text: str = "chunk_text", embedder: Hashed | None = None, lexical: bool = True, dense: bool = True) -> DataFrame:
+    """keys, and of every chunk bm25_score (lexical: Okapi's with a floor for common terms, 0 at least) and cosine_score (dense) against its query. queries: query_id, query_text (one each).
+
+    A query's weights and vector come to its chunks as one row, and a chunk is scored where its tokens are: what is shuffled by token are the counts of chunks that have it, alone.
+    """
+    embedder = embedder or Hashed()
+    rows = chunks.select(*keys, _tokens(text).alias("tokens"))
+    side = queries.select("query_id", _tokens("query_text").alias("asked"))
+    if lexical:
+        side = _weighted(rows, side)
+    if dense:
+        side = side.withColumn("q", embedder.counted(embedder.found(F.col("asked"))))
+    rows, scores = rows.join(side.drop("asked"), "query_id", "left"), []
+    if lexical:
+        matched = F.filter("tokens", lambda t: F.array_contains(F.transform("terms", lambda e: e["token"]), t))
+        saturated = lambda f: f * (K1 + 1) / (f + K1 * (1 - B + B * F.size("tokens") / F.col("avgdl")))
+        total = lambda m: F.aggregate("terms", F.lit(0.0), lambda s, e: s + e["weight"] * saturated(F.size(F.filter(m, lambda t: t == e["token"]))))
+        score = F.transform(F.array(matched), total)[0]
+        scores.append(F.round(F.greatest(F.coalesce(score, F.lit(0.0)), F.lit(0.0)), PLACES).alias("bm25_score"))
+    if dense:
+        score = F.transform(F.array(embedder.found(F.col("tokens"))), lambda f: F.try_divide(dot_of_counts(f, F.col("q")), norm_of_counts(f) * norm(F.col("q"))))[0]
+        scores.append(F.round(F.coalesce(score, F.lit(0.0)), PLACES).alias("cosine_score"))
+    return rows.select(*keys, *scores)
+
+
+def _weighted(rows: DataFrame, side: DataFrame) -> DataFrame:
+    """side (query_id, asked) with avgdl and terms: weights of those of its distinct tokens that its chunks have."""
+    # a chunk's distinct tokens, and one null with its length: one pass counts terms, chunks and lengths
+    term = F.explode(F.concat(F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("token"), F.lit(0).alias("dl"))), F.array(F.struct(F.lit(None).cast("string").alias("token"), F.size("tokens").alias("dl")))))
+    counts = rows.select("query_id", term.alias("e")).groupBy("query_id", "e.token").agg(F.count("*").alias("df"), F.sum("e.dl").alias("dl"))
+    corpus = counts.filter("token IS NULL").select("query_id", F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
+    raw = counts.filter("token IS NOT NULL").join(corpus, "query_id").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    # of all tokens only the mean is needed beyond the query's own
+    raw = raw.join(side.select("query_id", F.col("asked").alias("own")), "query_id")
+    f = F.size(F.filter("own", lambda t: t == F.col("token")))
+    of = raw.groupBy("query_id").agg((EPSILON * F.avg("raw")).alias("floor"), F.first("avgdl").alias("avgdl"), F.collect_list(F.when(f > 0, F.struct("token", "raw", f.alias("qf")))).alias("own_terms"))
+    weight = lambda e: F.struct(e["token"].alias("token"), (F.when(e["raw"] < 0, F.col("floor")).otherwise(e["raw"]) * e["qf"]).alias("weight"))
+    return side.join(of.select("query_id", "avgdl", F.transform("own_terms", weight).alias("terms")), "query_id", "left")
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, keys: list[str] = KEYS, text: str = "chunk_text") -> DataFrame:
-    """keys and bm25_score, Okapi's with a floor for common terms, 0 at least. queries: query_id, query_text (one each)."""
-    sized = chunks.select(*keys, _tokens(text).alias("tokens"))
-    corpus = sized.groupBy("query_id").agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    # a chunk's distinct tokens are found in its row, so that only counts by token are shuffled
-    df = sized.select("query_id", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("df"))
-    raw = df.join(corpus, "query_id").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    asked = queries.select("query_id", F.explode(_tokens("query_text")).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qf"))
-    floor = raw.groupBy("query_id").agg((EPSILON * F.avg("raw")).alias("floor"))
-    weight = F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")) * F.col("qf")
-    terms = raw.join(asked, ["query_id", "token"]).join(floor, "query_id").select("query_id", "token", "avgdl", weight.alias("weight"))
-    # and of its tokens only those that its query has are counted
-    wanted = queries.select("query_id", F.array_distinct(_tokens("query_text")).alias("wanted"))
-    matched = sized.join(wanted, "query_id").select(*keys, F.size("tokens").alias("dl"), F.explode(F.filter("tokens", lambda t: F.array_contains("wanted", t))).alias("token"))
-    tf = matched.groupBy(*keys, "dl", "token").agg(F.count("*").alias("f"))
-    saturated = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = tf.join(terms, ["query_id", "token"]).groupBy(*keys).agg(F.sum(F.col("weight") * saturated).alias("s"))
-    return chunks.select(*keys).join(scores, keys, "left").select(*keys, F.round(F.greatest(F.coalesce("s", F.lit(0.0)), F.lit(0.0)), PLACES).alias("bm25_score"))
+    """keys and bm25_score."""
+    return scored(chunks, queries, keys, text, dense=False)
 
 
 def cosine(chunks: DataFrame, queries: DataFrame, keys: list[str] = KEYS, text: str = "chunk_text", embedder: Hashed | None = None) -> DataFrame:
-    """keys and cosine_score of the query's and the chunk's vectors, as sparse rows."""
-    embedder = embedder or Hashed()
-    c = sparse(chunks, keys, text, embedder)
-    q = sparse(queries, ["query_id"], "query_text", embedder).withColumnRenamed("value", "q")
-    q_norm = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
-    both = c.join(q, ["query_id", "bucket"], "left").groupBy(*keys).agg(F.sum(F.col("value") * F.coalesce("q", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    score = F.coalesce(F.try_divide(F.col("dot"), F.col("norm") * F.col("q_norm")), F.lit(0.0))
-    return chunks.select(*keys).join(both.join(q_norm, "query_id", "left"), keys, "left").select(*keys, F.round(score, PLACES).alias("cosine_score"))
+    """keys and cosine_score of the query's and the chunk's vectors: no shuffle of chunks by token."""
+    return scored(chunks, queries, keys, text, embedder, lexical=False)
 
 
 def ranked(scores: DataFrame, score: str, out: str, keys: list[str] = KEYS) -> DataFrame:
@@ -57,7 +77,7 @@ def ranked(scores: DataFrame, score: str, out: str, keys: list[str] = KEYS) -> D
 
 def fused(chunks: DataFrame, queries: DataFrame, keys: list[str] = KEYS, text: str = "chunk_text", k: int = RRF_K, embedder: Hashed | None = None) -> DataFrame:
     """keys, both scores and rrf_score: 1 / (k + rank) of the one and the other."""
-    both = bm25(chunks, queries, keys, text).join(cosine(chunks, queries, keys, text, embedder), keys)
+    both = scored(chunks, queries, keys, text, embedder)
     both = ranked(ranked(both, "bm25_score", "r1", keys), "cosine_score", "r2", keys)
     return both.select(*keys, "bm25_score", "cosine_score", F.round(1 / (k + F.col("r1")) + 1 / (k + F.col("r2")), PLACES).alias("rrf_score"))
 

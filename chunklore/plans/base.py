@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +19,21 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    """Text functions cost far more than reading: a table of fewer splits than cores (one file of one row group can't be split) is dealt by id, any other is read as it lies."""
+    docs, cores = table(spark, d, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores, "doc_id")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see: in ``spark.checkpoint.dir``, or on one machine in its own temporary folder. It goes when the application ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/chunklore-{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/queries/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
 
 
 def queries(spark: SparkSession, d: str) -> DataFrame:
@@ -94,6 +112,26 @@ def sql_strict_sentences(x: str) -> str:
     return f"list_transform(list_filter({parts}, lambda s: length(s) >= 10), lambda s: {sql_ended('s')})"
 
 
+def sql_rules(x: str, rules: list[tuple[str, str]]) -> str:
+    """The rules in RE2's dialect: classes of Unicode spelled out, $1 as \\1."""
+    for pattern, to in rules:
+        out, inside, k = "", False, 0
+        while k < len(pattern):
+            c, two = pattern[k], pattern[k : k + 2]
+            if two in (r"\s", r"\w", r"\d"):
+                of = {"s": r"\s\x0B\x85\p{Z}", "w": r"\p{L}\p{M}\p{N}_", "d": r"\p{Nd}"}[two[1]]
+                out, k = out + (of if inside else f"[{of}]"), k + 2
+            elif c == "\\":
+                out, k = out + two, k + 2
+            else:
+                inside = c == "[" or inside and c != "]"
+                out, k = out + c, k + 1
+        new = re.sub(r"\$(\d)", r"\\\1", to)
+        quoted = lambda t: "'" + t.replace("'", "''") + "'"
+        x = f"regexp_replace({x}, {quoted(out)}, {quoted(new)}, 'g')"
+    return x
+
+
 def sql_fixed(source: str, cols: str, size: int = SIZE, overlap: int = 0) -> str:
     step = size - max(0, min(overlap, size - 1))
     return f"""SELECT {cols}, i::INT AS chunk_index, substr(text, (i * {step} + 1)::BIGINT, {size}) AS chunk_text

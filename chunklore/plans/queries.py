@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import cleaning, labels, text, triples, vectors
 from ..operators import boundaries, chunking, embedding, integrate, metrics, pairs, profile, ranking
 from ..sources import readers
+from .. import schemas
+from ..sources import writers
 from . import base as b
-from .base import sql_collapse, sql_full, sql_profile_sentences, sql_split_after, sql_strict_sentences, sql_strip, sql_tokens, sql_words
+from .base import sql_collapse, sql_ended, sql_full, sql_profile_sentences, sql_rules, sql_split_after, sql_strict_sentences, sql_strip, sql_tokens, sql_words
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,7 +60,14 @@ def word_tokens(spark, d):
     return b.documents(spark, d).select("doc_id", F.size(text.words(t)).alias("n_words"), F.size(text.word_tokens(t)).alias("n_tokens"), text.token_count(t).alias("n_marks_too"), _digest(text.word_tokens(t)).alias("tokens"))
 
 
-@query()
+_BOUNDED = f"""parts AS (SELECT doc_id, {sql_full(sql_split_after(sql_strip(sql_collapse('text')), '.!?', '[A-Z]'))} AS p FROM documents),
+bounded AS (SELECT doc_id, list_transform(list_filter(flatten(list_transform(p, lambda t: CASE WHEN length(t) > 1000 THEN {sql_full(sql_split_after('t', '.!?;'))} ELSE [t] END)), lambda s: length(s) >= 10), lambda s: {sql_ended('s')}) AS c FROM parts),
+clauses AS (SELECT doc_id, c, {sql_full("flatten(list_transform(c, lambda t: string_split(t, ';')))")} AS h FROM bounded),
+simple AS (SELECT doc_id, c, flatten(list_transform(h, lambda p: list_transform([string_split_regex(p, ',{b.BLANK}+(?:and|but|or){b.BLANK}+')], lambda t: CASE WHEN len(t) >= 2 AND len({sql_words('t[1]')}) >= 4 AND len({sql_words('t[2]')}) >= 4
+  THEN list_transform([{sql_strip('t[1]')}, {sql_strip('t[2]')}], lambda s: CASE WHEN ends_with(s, '.') THEN s ELSE s || '.' END) ELSE [p] END)[1])) AS x FROM clauses)"""
+
+
+@query(f"WITH {_BOUNDED} SELECT doc_id, len(c)::INT AS n_bounded, {_joined('c')} AS bounded, len(x)::INT AS n_simplified, {_joined('x')} AS simplified FROM simple")
 def sentence_split_bounded(spark, d):
     """Sentences over 1,000 characters cut once more, and the simplified form."""
     t = F.col("text")
@@ -622,6 +632,85 @@ def avg_model_rank(spark, d):
     return _rounded(metrics.average_ranks(_models(spark, d), _NAMES), 6, "average_rank")
 
 
+# files written and read again
+
+_FLAT = "regexp_replace(text, '[\\t\\n\\r]', ' ', 'g')"
+
+
+def _file_rows(spark, d) -> DataFrame:
+    docs = b.documents(spark, d).filter("text IS NOT NULL AND text <> ''")
+    return docs.select(F.col("doc_id").cast("string").alias("query_id"), F.regexp_replace("text", r"[\t\n\r]", " ").alias("chunk_text"), (F.col("doc_id") % 2).cast("string").alias("label"))
+
+
+_FILE_ROWS = f"SELECT doc_id::VARCHAR AS query_id, md5({_FLAT}) AS chunk_md5, (doc_id % 2)::VARCHAR AS label FROM documents WHERE text <> ''"
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("query_id", F.md5("chunk_text").alias("chunk_md5"), "label")
+
+
+@query(_FILE_ROWS)
+def tsv_quoted(spark, d):
+    writers.tsv(_file_rows(spark, d), path := b.scratch(spark, "tsv"))
+    return _shown(readers.tsv(spark, path, quoted=True))
+
+
+@query(_FILE_ROWS)
+def tsv_escaped(spark, d):
+    writers.tsv(_file_rows(spark, d), path := b.scratch(spark, "tsv"), escaped=True)
+    return _shown(readers.tsv(spark, path))
+
+
+@query(_FILE_ROWS)
+def csv_results(spark, d):
+    writers.csv(_file_rows(spark, d), path := b.scratch(spark, "csv"))
+    return _shown(spark.read.option("header", True).csv(path))
+
+
+@query("SELECT n, n_label FROM (SELECT count(*) AS n, count(*) FILTER (quality = 1) AS n_label FROM labels)")
+def json_report(spark, d):
+    counts = b.table(spark, d, "labels").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("n_label"))
+    writers.json_report(counts, path := b.scratch(spark, "json"))
+    return spark.read.schema("n long, n_label long").json(path)
+
+
+@query("SELECT 'n: ' || count(*) AS line FROM labels UNION ALL SELECT 'n_label: ' || count(*) FILTER (quality = 1) FROM labels")
+def text_summary(spark, d):
+    counts = b.table(spark, d, "labels").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("n_label"))
+    writers.text_summary(counts, path := b.scratch(spark, "text"))
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query("SELECT item_id::VARCHAR AS document_id, md5(text) AS document_md5 FROM benchmark WHERE text <> ''")
+def document_files(spark, d):
+    """A folder for each name, a file in each, read as whole files by folder."""
+    rows = b.queries(spark, d).filter("query_text IS NOT NULL AND query_text <> ''").select(F.col("query_id").alias("name"), F.col("query_text").alias("value"))
+    rows.write.partitionBy("name").option("lineSep", "\x03").text(path := b.scratch(spark, "files"))
+    files = readers.whole_files(spark, path, "parent")
+    return files.select(F.regexp_replace("document_id", "^name=", "").alias("document_id"), F.md5(F.replace("document", F.lit("\x03"), F.lit(""))).alias("document_md5"))
+
+
+@query(f"WITH q AS (SELECT doc_id, doc_id % {b.N_QUERIES} AS query_id, text FROM documents WHERE text <> '') SELECT query_id, md5(arg_min(text, doc_id)) AS query_md5 FROM q GROUP BY query_id")
+def query_map_scan(spark, d):
+    n = b.table(spark, d, "benchmark").count()
+    rows = b.documents(spark, d).filter("text <> ''").select((F.col("doc_id") % n).alias("query_id"), F.col("text").alias("query_text"), "doc_id")
+    return readers.query_map(rows, "doc_id").select("query_id", F.md5("query_text").alias("query_md5"))
+
+
+@query("SELECT md5(b.text) AS query_md5, md5(d.text) AS chunk_md5, quality AS label FROM labels l JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = l.doc_id % (SELECT count(*) FROM benchmark)")
+def standard_columns(spark, d):
+    """Columns under other names, found by their synonyms."""
+    rows = b.judged_documents(spark, d).join(b.queries(spark, d), "query_id").select(F.col("query_text").alias("Question"), F.col("text").alias("passage"), F.col("label").alias("rel"))
+    found = schemas.resolved(rows, schemas.Resolution(schemas.PAIRS))
+    return found.select(F.md5("query_text").alias("query_md5"), F.md5("chunk_text").alias("chunk_md5"), "label")
+
+
+@query(f"WITH {_FOLD} SELECT query_id, document_id, label FROM folds WHERE own <> 2")
+def pack_files(spark, d):
+    writers.packs(pairs.expanded(_folded(spark, d), 5), path := b.scratch(spark, "packs"))
+    return writers.read_pack(spark, path, 2, "train")
+
+
 # cleaning
 
 
@@ -632,13 +721,38 @@ def clean_guard(spark, d):
     return b.documents(spark, d).select("doc_id", cleaning.guard_passes(F.col("text"), cut).alias("passes"))
 
 
-@query()
+def _sql_clean(x: str) -> str:
+    """The cleaning rules in their order; an acronym's period is found twice over, as RE2 can't look ahead."""
+    known, mark, edge = "|".join(cleaning.ACRONYMS), cleaning.MARK, r"(^|[^\p{L}\p{M}\p{N}_])"
+    out = sql_rules(f"coalesce({x}, '')", cleaning.HEADERS + cleaning.TAGS + cleaning.TRANSCRIPT + cleaning.BRACKETS)
+    acronym = (rf"{edge}({known})\.\s+([A-Za-z])", f"$1$2{mark} $3")
+    out = sql_rules(out, [acronym, acronym, (rf"{edge}({known})\.$", f"$1$2{mark} "), *cleaning.BOUNDARIES])
+    periods = [(p.replace(r"\b", edge, 1), "$1" + to.replace("$1", "$2")) if p.startswith(r"\b") else (p, to) for p, to in cleaning.PERIODS]
+    return sql_strip(f"replace({sql_rules(sql_strip(out), periods)}, '{mark}', '.')")
+
+
+def _sql_interview(x: str) -> str:
+    """Where speakers begin is marked first, as RE2 can't look ahead."""
+    first, second, *rest = cleaning.INTERVIEW
+    marked = sql_rules(sql_rules(f"coalesce({x}, '')", [first]), [(r"(\s+\([^)]+\))", "\x02$1"), (r"\(([^)]+)\)\s+([A-Z]\x02?[^.!?\x02][^.!?\x02]*?)(?:\x02|$)", second[1]), (r"\x02", "")])
+    out = sql_rules(marked, rest)
+    closed = """CASE WHEN (length(o) - length(replace(o, '"', ''))) % 2 = 1 THEN o || '"' ELSE o END"""
+    return f"list_transform([{out}], lambda o: {sql_strip(sql_collapse(closed))})[1]"
+
+
+def _sql_guarded(x: str, y: str) -> str:
+    near = lambda f: f"abs({f(y)} - {f(x)}) / nullif({f(x)}, 0)::DOUBLE <= 0.3"
+    n_chars, n_words = (lambda t: f"length({t})"), (lambda t: f"len({sql_words(t)})")
+    return f"CASE WHEN length({x}) > 0 AND length({y}) > 0 AND {near(n_chars)} AND {near(n_words)} THEN {y} ELSE {x} END"
+
+
+@query(f"WITH c AS (SELECT doc_id, text, {_sql_clean('text')} AS c FROM documents) SELECT doc_id, length(c)::INT AS n_chars, md5(c) AS cleaned, md5({_sql_guarded('text', 'c')}) AS guarded FROM c")
 def corpus_clean(spark, d):
     c = cleaning.corpus_clean(F.col("text"))
     return b.documents(spark, d).select("doc_id", F.length(c).alias("n_chars"), F.md5(c).alias("cleaned"), F.md5(cleaning.guarded(F.col("text"), c)).alias("guarded"))
 
 
-@query()
+@query(f"SELECT doc_id, md5({_sql_interview('text')}) AS formatted FROM documents")
 def interview_format(spark, d):
     return b.documents(spark, d).select("doc_id", F.md5(cleaning.interview_format(F.col("text"))).alias("formatted"))
 
@@ -699,21 +813,23 @@ def similarity_distribution(spark, d):
     return _rounded(out, 6, "min", "max", "mean", "std", *[f"p{p}" for p in (10, 25, 50, 75, 90, 95)])
 
 
-# triples: the first words of a text as extractions
+# triples: the first words of every sentence as extractions
 
-_W = sql_words("text")
-_TRIPLES = f"""w AS (SELECT doc_id, {_W} AS w FROM documents),
-t AS (SELECT doc_id, list_filter([{{'subject': w[1], 'relation': w[2], 'object': w[3]}}, {{'subject': w[1], 'relation': w[2], 'object': coalesce(w[4], '')}}, {{'subject': lower(w[1]), 'relation': w[2], 'object': w[3]}}],
+_TRIPLES = f"""w AS (SELECT doc_id, list_transform({_A}, lambda s: {sql_words('s')}) AS w FROM documents),
+t AS (SELECT doc_id, list_filter(flatten(list_transform(w, lambda w: [{{'subject': w[1], 'relation': w[2], 'object': w[3]}}, {{'subject': w[1], 'relation': w[2], 'object': coalesce(w[4], '')}}, {{'subject': lower(w[1]), 'relation': w[2], 'object': w[3]}}])),
   lambda x: coalesce(x.subject, '') <> '' AND coalesce(x.relation, '') <> '' AND coalesce(x.object, '') <> '') AS t FROM w)"""
 
 
 def _raw_triples(spark, d) -> DataFrame:
-    w = text.words(F.col("text"))
-    word = lambda i: F.coalesce(F.get(F.col("w"), F.lit(i)), F.lit(""))
     part = lambda c: F.struct(F.concat(F.lit(" "), c, F.lit(" ")).alias("text"))
-    item = lambda s, *o: F.struct(F.struct(part(s).alias("arg1"), part(word(1)).alias("rel"), F.array(*map(part, o)).alias("arg2s")).alias("extraction"))
-    raw = F.to_json(F.array(item(word(0), word(2), word(3)), item(F.lower(word(0)), word(2))))
-    return b.documents(spark, d).select("doc_id", "text", w.alias("w")).select("doc_id", "text", triples.flattened(raw).alias("t"))
+
+    def items(w):
+        word = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit(""))
+        item = lambda s, *o: F.struct(F.struct(part(s).alias("arg1"), part(word(1)).alias("rel"), F.array(*map(part, o)).alias("arg2s")).alias("extraction"))
+        return F.array(item(word(0), word(2), word(3)), item(F.lower(word(0)), word(2)))
+
+    found = F.transform(F.transform(text.sentences_profile(F.col("text")), text.words), items)
+    return b.documents(spark, d).select("doc_id", "text", triples.flattened(F.to_json(F.flatten(found))).alias("t"))
 
 
 @query(f"WITH {_TRIPLES} SELECT doc_id, unnest(t, recursive := true) FROM t")
@@ -778,6 +894,16 @@ def chunk_map(spark, d):
     return chunking.chunk_map(rows.select("doc_id", meta.alias("meta_json")), "doc_id")
 
 
+@query(f"""WITH i AS (SELECT doc_id, text AS raw, {_sql_interview('text')} AS x FROM documents), c AS (SELECT doc_id, raw, {_sql_clean('x')} AS y FROM i), g AS (SELECT doc_id, {_sql_guarded('raw', 'y')} AS text FROM c),
+  f AS ({b.sql_fixed("g", "doc_id")}), w AS (SELECT doc_id, chunk_index, {sql_strip("translate(chunk_text, chr(9) || chr(10) || chr(13), '   ')")} AS chunk_text FROM f)
+  SELECT 'text_splitter_char_naive' AS config, doc_id, chunk_index, doc_id || '_chunk' || chunk_index AS chunk_id, md5(chunk_text) AS chunk_md5 FROM w WHERE chunk_text <> ''""")
+def run_fixed(spark, d):
+    """The configuration of fixed width, every chunk."""
+    from . import registry
+
+    return registry.run(b.documents(spark, d), registry.chosen("text_splitter_char_naive")).select("config", "doc_id", "chunk_index", "chunk_id", F.md5("chunk_text").alias("chunk_md5"))
+
+
 @query()
 def run_configs(spark, d):
     """Chunks by configuration."""

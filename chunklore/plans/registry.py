@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cleaning
-from ..functions.text import NO_INFORMATION
-from ..operators import chunking
-from ..operators.contiguous import Splitter, split
-from ..operators.grouping import Grouper, group
+from ..functions.text import NO_INFORMATION, sentences_bounded
+from ..operators import chunking, contiguous, grouping
+from ..operators.contiguous import Splitter
+from ..operators.grouping import Grouper
 
 
 @dataclass(frozen=True)
@@ -27,13 +26,6 @@ class Config:
     how: Splitter | Grouper | Fixed
 
 
-def _fixed(docs: DataFrame, id_col: str, text_col: str, how: Fixed) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return chunking.chunked(rows, chunking.fixed_width(F.col("text"), F.col("doc_id"), how.size, how.overlap), "doc_id")
-
-
-CHUNKERS: dict[type, Callable[..., DataFrame]] = {Splitter: split, Grouper: group, Fixed: _fixed}
-
 #: By name, in the order in which numbers choose them. Parameters that a configuration gives take effect; where ``auto`` is on the document decides the rest.
 CONFIGS = {
     c.name: c
@@ -57,15 +49,30 @@ def chosen(*names: str) -> list[Config]:
 
 def run(docs: DataFrame, configs: list[Config], id_col: str = "doc_id", text_col: str = "text", clean: bool = True) -> DataFrame:
     """config, doc_id, chunk_index, chunk_id, chunk_text of every configuration, as it is written. With clean, wire texts are cleaned first where that changes no more than the guard lets
-    pass; texts that say there is no information give nothing. Documents go through in one narrow pass for each configuration."""
-    text = F.col(text_col)
+    pass; texts that say there is no information give nothing. Every document is cleaned and cut into sentences once, then dealt evenly, as the chunkers cost far more than
+    its way there, and goes through all configurations in one pass."""
+    if not configs:
+        raise ValueError("no configuration")
+    text, body = F.col(text_col), F.col("text")
     cleaned = cleaning.guarded(text, cleaning.corpus_clean(cleaning.interview_format(text))) if clean else text
     rows = docs.select(F.col(id_col).alias("doc_id"), cleaned.alias("text")).filter(F.trim("text") != NO_INFORMATION)
-    out: DataFrame | None = None
-    for c in configs:
-        chunks = CHUNKERS[type(c.how)](rows, "doc_id", "text", c.how)
-        chunks = chunking.written_form(chunks).select(F.lit(c.name).alias("config"), "doc_id", "chunk_index", "chunk_id", "chunk_text")
-        out = chunks if out is None else out.unionByName(chunks)
-    if out is None:
-        raise ValueError("no configuration")
-    return out
+    kinds = {type(c.how) for c in configs}
+    sentences = {Splitter: sentences_bounded(cleaning.splitter_preclean(body)).alias("split_sentences"), Grouper: sentences_bounded(cleaning.grouping_preclean(body)).alias("group_sentences")}
+    rows = rows.select("doc_id", "text", *[s for kind, s in sentences.items() if kind in kinds])
+    if kinds != {Fixed}:
+        rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "doc_id")
+    found = {Splitter: lambda how: contiguous.finder(how)("split_sentences"), Grouper: lambda how: grouping.finder(how)("group_sentences")}
+    rows = rows.select("*", *[found[type(c.how)](c.how).alias(f"found_{i}") for i, c in enumerate(configs) if type(c.how) is not Fixed])
+    doc_id = F.col("doc_id")
+
+    def chunks(i: int, c: Config) -> Column:
+        if isinstance(c.how, Splitter):
+            made = contiguous.texts(doc_id, body, F.col("split_sentences"), F.col(f"found_{i}"))
+        elif isinstance(c.how, Grouper):
+            made = grouping.texts(doc_id, F.col("group_sentences"), F.col(f"found_{i}"))
+        else:
+            made = chunking.fixed_width(body, doc_id, c.how.size, c.how.overlap)
+        return F.transform(made, lambda x: F.struct(F.lit(c.name).alias("config"), x["chunk_index"].alias("chunk_index"), x["chunk_id"].alias("chunk_id"), x["chunk_text"].alias("chunk_text")))
+
+    out = rows.select("doc_id", F.explode(F.concat(*[chunks(i, c) for i, c in enumerate(configs)])).alias("c"))
+    return chunking.written_form(out.select("c.config", "doc_id", "c.chunk_index", "c.chunk_id", "c.chunk_text"))

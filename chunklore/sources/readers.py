@@ -11,9 +11,10 @@ from ..functions.text import normalize
 TOPICS = "query_id string, query_text string"
 
 
-def whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """document_id (the file's name) and its text."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("document_id"), F.col("value").alias("document"))
+def whole_files(spark: SparkSession, path: str, named: str = "file") -> DataFrame:
+    """document_id (the name of the file, or with named="parent" of its folder) and its text."""
+    place = F.split("_metadata.file_path", "/")
+    return spark.read.text(path, wholetext=True).select(F.element_at(place, -1 if named == "file" else -2).alias("document_id"), F.col("value").alias("document"))
 
 
 def parsed_topics(files: DataFrame, text_col: str = "value", use_title: bool = True, order: str | None = None) -> DataFrame:
