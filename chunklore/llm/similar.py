@@ -5,8 +5,8 @@ the fingerprint's eight bytes have a ball each: every byte emits its variants wi
 hashes of the byte's own), without which eight bits would meet everywhere. A pair of similarity 0.8 shares both anchors with probability 0.64 and
 then differs in at most two of the eight bits with 0.89: of eight bytes one or more meet with probability 0.999 (0.9999 at 0.85).
 
-First everything is held against the smallest of its bucket; then all pairs of a bucket that are not in one component yet. So every
-colliding pair is verified or connected already, without squares of large groups of copies.
+First everything is held against the smallest of its bucket; then all pairs of a bucket that are not in one component yet, by their shingles' 32-bit hashes within the join itself: only
+pairs that pass come out of it, and their texts decide. So every colliding pair is verified or connected already, and no group of copies is squared into rows.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, importable, named, unused, written
@@ -62,15 +62,40 @@ def sketch(text: str, n: int = 5) -> tuple[int, list[int]]:
     return int(np.packbits(2 * ones > len(s), bitorder="little").view("<i8")[0]), anchor.view(np.int64).tolist()
 
 
+def shingle_hashes(text: str, n: int = 5) -> np.ndarray:
+    """The distinct shingles by 32 bits of their hashes."""
+    _, _, h = words(text.encode("utf-8", "surrogatepass").lower(), UNBLANK)
+    return np.unique((shingles(h, min(n, max(1, len(h)))) >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+
+
 def balls(nodes: DataFrame) -> DataFrame:
-    """nodes: node, print, anchors. (node, bucket): each byte's variants within one bit, beside its anchors."""
+    """nodes: node, print, anchors. (node, bucket, spot): each byte's variants within one bit, beside its anchors; spot is the byte's place and the variant."""
     masks = F.array(*[F.lit(m).cast("long") for m in (0, *(1 << b for b in range(8)))])
 
     def of(place):
-        value = F.expr(f"shiftrightunsigned(print, {8 * place}) & 255L")
-        return F.transform(masks, lambda m: F.xxhash64(F.lit(place), F.get("anchors", F.lit(place)), value.bitwiseXOR(m)))
+        def one(m):
+            variant = _byte("print", place).bitwiseXOR(m)
+            return F.struct(F.xxhash64(F.lit(place), F.get("anchors", F.lit(place)), variant).alias("bucket"), (256 * place + variant).cast("int").alias("spot"))
+
+        return F.transform(masks, one)
+
+    return nodes.filter(F.size("anchors") > 0).select("node", F.explode(F.flatten(F.array(*[of(i) for i in range(BYTES)]))).alias("b")).select("node", "b.*")
 
-    return nodes.filter(F.size("anchors") > 0).select("node", F.explode(F.flatten(F.array(*[of(i) for i in range(BYTES)]))).alias("bucket"))
+
+def _byte(print_: str, place: int) -> Column:
+    return F.expr(f"shiftrightunsigned({print_}, {8 * place}) & 255L")
+
+
+def first_meeting() -> Column:
+    """Of all buckets that nodes a and b meet in only one: of their first byte that does, that of the smallest variant they have in common."""
+    place = F.expr("spot div 256").cast("int")
+    x, differ = F.expr("shiftrightunsigned(print_a, cast(8 * (spot div 256) as int)) & 255L"), F.expr("shiftrightunsigned(print_a ^ print_b, cast(8 * (spot div 256) as int)) & 255L")
+    low = differ.bitwiseAND(-differ)
+    # of one or two differing bits each, flipped, gives a common variant; of none the byte itself does
+    smallest = F.when(F.bit_count(differ) == 1, F.least(x, x.bitwiseXOR(differ))).otherwise(F.least(x.bitwiseXOR(low), x.bitwiseXOR(differ).bitwiseXOR(low)))
+    # a function of an array, not eight terms in a row: Java compiles no method as long as those made the join's
+    before = F.exists(F.slice(F.array(*[F.lit(j) for j in range(BYTES - 1)]), F.lit(1), place), lambda j: (F.get("anchors_a", j) == F.get("anchors_b", j)) & (F.bit_count(F.call_function("shiftrightunsigned", F.col("print_a").bitwiseXOR(F.col("print_b")), 8 * j).bitwiseAND(F.lit(255))) <= 2))
+    return (F.expr("spot % 256") == smallest) & ~before
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, n: int) -> DataFrame:
@@ -130,15 +155,25 @@ def similar_groups(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col:
     star = met.filter("node > least").select("node", "least", "print").distinct().join(prints, "least").filter(near("print", "print_least"))
     links = written(verified(star.select(F.col("node").alias("a"), F.col("least").alias("b")), texts, threshold, n), "links")
     known = connected_components(links)
-    labelled = met.join(known, "node", "left").select("bucket", "least", "node", "print", F.coalesce("component", "node").alias("component"))
+    labelled = met.join(known, "node", "left").select("bucket", "spot", "least", "node", "print", F.coalesce("component", "node").alias("component"))
     labelled = written(labelled, "met-components")
     drop(met)
     apart = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
     left = written(labelled.join(apart, "bucket", "left_semi"), "buckets-apart")
     # the smallest of a bucket was held against all of it
     rest = left.filter("node <> least")
-    a, b = rest.select("bucket", F.col("node").alias("a"), F.col("component").alias("of_a"), F.col("print").alias("print_a")), rest.select("bucket", F.col("node").alias("b"), F.col("component").alias("of_b"), F.col("print").alias("print_b"))
-    pairs = a.join(b, "bucket").filter("a > b AND of_a <> of_b").filter(near("print_a", "print_b")).select("a", "b").distinct()
+
+    def hashed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([shingle_hashes(t, n) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], names=["node", "shingles"])
+
+    sets = written(texts.join(rest.select("node").distinct(), "node", "left_semi").mapInArrow(hashed, "node long, shingles array<int>"), "shingle-sets")
+    own_ = sets.join(nodes.select("node", "anchors"), "node")
+    side = lambda x: rest.join(own_, "node").select("bucket", "spot", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "component", "print", "anchors", "shingles")])
+    shared_ = F.size(F.array_intersect("shingles_a", "shingles_b")) * (1 + threshold)
+    alike = shared_ >= (threshold - 0.002) * (F.size("shingles_a") + F.size("shingles_b"))  # the little for hashes that are equal by chance
+    pairs = side("a").join(side("b"), ["bucket", "spot"]).filter((F.col("node_a") > F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & near("print_a", "print_b") & first_meeting() & alike)
+    pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     more = written(verified(written(pairs, "pairs-apart"), texts, threshold, n), "more-links")
     closed = connected_components(written(links.unionByName(more), "all-links"))
     labels = written(nodes.join(closed, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "node-components")
