@@ -1,13 +1,19 @@
 """Every registered query of the reference operators against DuckDB, and the entry module."""
 
+import hashlib
 import math
 
 import duckdb
 import pytest
 
 import __spark_entry__ as e
+from chunklore.functions import cleaning, text
+from chunklore.operators import chunking, contiguous, grouping, signals
+from chunklore.plans import registry
 from chunklore.plans.queries import ORACLE, QUERIES
 
+from .test_chunkers import plain_split
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NO_SQL = sorted(set(QUERIES) - set(ORACLE))
 
@@ -41,6 +47,54 @@ def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+def sentences_of(spark, sf, clean):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return {r.doc_id: r.s for r in docs.select("doc_id", text.sentences_bounded(clean(docs["text"])).alias("s")).collect()}
+
+
+def test_contiguous_chunks_are_the_plain_splitter_s(spark, sf):
+    found = {}
+    for r in QUERIES["contiguous_chunks"](spark, sf).orderBy("doc_id", "chunk_index").collect():
+        found.setdefault(r.doc_id, []).append((r.sent_indices, r.chunk_md5, r.chunk_id))
+    checked = 0
+    for doc_id, sentences in sentences_of(spark, sf, cleaning.splitter_preclean).items():
+        if 2 < len(sentences) <= 90:
+            want = [(",".join(map(str, range(a, b))), hashlib.md5(" ".join(sentences[a:b]).encode()).hexdigest(), f"{doc_id}_chunk{i}") for i, (a, b) in enumerate(plain_split(sentences))]
+            assert found[doc_id] == want
+            checked += 1
+    assert checked > 50
+
+
+def test_groups_and_series_hold_every_sentence_once(spark, sf):
+    sentences = sentences_of(spark, sf, cleaning.grouping_preclean)
+    members = {}
+    for r in QUERIES["semantic_groups"](spark, sf).collect():
+        own = list(map(int, r.sent_indices.split(",")))
+        assert r.n == len(own) and r.exemplar in own and hashlib.md5(" ".join(sentences[r.doc_id][i] for i in own).encode()).hexdigest() == r.chunk_md5
+        members.setdefault(r.doc_id, []).extend(own)
+    assert {d: sorted(m) for d, m in members.items()} == {d: list(range(len(s))) for d, s in sentences.items() if s}
+    series = {}
+    for r in QUERIES["signal_series"](spark, sf).collect():
+        series.setdefault(r.doc_id, {})[r.place] = r.similarity
+    for doc_id, s in sentences_of(spark, sf, cleaning.splitter_preclean).items():
+        v = signals.hashed_vectors(s)
+        assert len(series.get(doc_id, {})) == max(0, len(s) - 1)
+        assert all(abs(series[doc_id][i] - v[i] @ v[i + 1]) < 1e-5 for i in range(len(s) - 1))
+
+
+def test_configurations_are_their_chunkers(spark, sf):
+    """One pass over all configurations gives what each chunker gives alone."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").filter("doc_id < 40")
+    rows = {}
+    for r in registry.run(docs, registry.chosen(), clean=False).collect():
+        rows.setdefault(r.config, set()).add((r.doc_id, r.chunk_index, r.chunk_id, r.chunk_text))
+    assert set(rows) == set(registry.CONFIGS)
+    for config in registry.chosen():
+        if not isinstance(config.how, registry.Fixed):
+            alone = (contiguous.split if isinstance(config.how, registry.Splitter) else grouping.group)(docs, "doc_id", "text", config.how)
+            assert {(r.doc_id, r.chunk_index, r.chunk_id, r.chunk_text) for r in chunking.written_form(alone).collect()} == rows[config.name]
+
+
 def test_entry(spark):
     out = e.entry(spark)
     assert out.count() > 0 and set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
