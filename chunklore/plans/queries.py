@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cleaning, labels, text, triples, vectors
-from ..operators import boundaries, chunking, embedding, integrate, metrics, pairs, profile, ranking
+from ..operators import boundaries, chunking, contiguous, embedding, integrate, metrics, pairs, profile, ranking
 from ..sources import readers
 from .. import schemas
 from ..sources import writers
@@ -813,6 +813,25 @@ def similarity_distribution(spark, d):
     return _rounded(out, 6, "min", "max", "mean", "std", *[f"p{p}" for p in (10, 25, 50, 75, 90, 95)])
 
 
+_SMOOTH = f"""{_ADJACENT}, x AS (SELECT doc, place, s, lag(s, 1, s) OVER w AS before, lead(s, 1, s) OVER w AS after, lag(s) OVER w AS b0, lead(s) OVER w AS a0, count(*) OVER (PARTITION BY doc) AS n FROM a WHERE s IS NOT NULL WINDOW w AS (PARTITION BY doc ORDER BY place))"""
+
+
+@query(f"""WITH {_SMOOTH} SELECT doc, place, round(CASE WHEN n < 3 THEN s ELSE list_aggregate([before, s, after], 'median') END, 6) AS median, round(CASE WHEN n < 3 THEN s ELSE (coalesce(b0, 0) + s + coalesce(a0, 0)) / 3 END, 6) AS average FROM x""")
+def smoothed_series(spark, d):
+    """Neighbours' similarities by centered median and by moving average."""
+    rows = boundaries.adjacent(_units(spark, d), "doc", "place", "v").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("place", "similarity"))).alias("s"))  # a document's own
+    return _rounded(rows.select("doc", F.explode(contiguous.smoothed(3)("s")).alias("s")).select("doc", "s.*"), 6, "median", "average")
+
+
+@query(f"""WITH {_UNIT}, e AS (SELECT doc, place, unnest(v) AS x, unnest(range(len(v))) AS k FROM u),
+m AS (SELECT doc, place, k, avg(x) OVER (w ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS l, avg(x) OVER (w ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS r FROM e WINDOW w AS (PARTITION BY doc, k ORDER BY place))
+SELECT doc, place, round(1 - sum(l * r) / ((sqrt(sum(l * l)) + 1e-9) * (sqrt(sum(r * r)) + 1e-9)), 6) AS gap FROM m WHERE r IS NOT NULL GROUP BY doc, place""")
+def gap_series(spark, d):
+    """Block means on either side of every gap."""
+    rows = _units(spark, d).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("place", "v"))).alias("s"))  # a document's own
+    return _rounded(rows.select("doc", F.explode(contiguous.gaps(4)("s")).alias("s")).select("doc", "s.*"), 6, "gap")
+
+
 # triples: the first words of every sentence as extractions
 
 _TRIPLES = f"""w AS (SELECT doc_id, list_transform({_A}, lambda s: {sql_words('s')}) AS w FROM documents),
@@ -884,8 +903,26 @@ def diameter_split(spark, d):
     return out.select("doc_id", "chunk_id", F.md5("chunk_text").alias("chunk_md5"))
 
 
-@query()
+@query(f"""SELECT doc_id, doc_id || '_cluster0' AS chunk_id, '0,' || len({_C}) AS sent_indices, len({_C})::INT AS n_sent, length(text) / 8.0 AS sim_mean, NULL::DOUBLE AS sim_min, 0.5::DOUBLE AS sim_max, 0.25::DOUBLE AS sim_std,
+  (doc_id % 5)::INT AS anchor, length(text) / 16.0 AS anchor_centrality FROM documents""")
 def chunk_map(spark, d):
+    """A chunk's metadata written as JSON and read as columns; what is missing is null."""
+    n, size = F.size(text.sentences_strict(F.col("text"))), F.length("text")
+    meta = {
+        "chunk_id": F.concat(F.col("doc_id").cast("string"), F.lit("_cluster0")),
+        "sent_indices": F.concat(F.lit("0,"), n.cast("string")),
+        "n": n,
+        "sim_mean": size / 8,
+        "sim_max": F.lit(0.5),
+        "sim_std": F.lit(0.25),
+        "exemplar": (F.col("doc_id") % 5).cast("int"),
+        "exemplar_centrality": size / 16,
+    }
+    return chunking.chunk_map(b.documents(spark, d).select("doc_id", F.to_json(F.struct(*[v.alias(k) for k, v in meta.items()])).alias("meta_json")), "doc_id")
+
+
+@query()
+def group_map(spark, d):
     """The metadata of semantic groups as JSON and back as columns."""
     from ..operators.grouping import group
 
