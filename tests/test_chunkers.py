@@ -206,6 +206,93 @@ def test_splitter_end_to_end(seed):
     assert [(c["first"], c["last"] + 1) for c in Splitter().groups(sentences)] == plain_split(sentences)
 
 
+def plain_groups(sentences):
+    """The automatic grouping end to end, pair by pair; communities and spectral cuts, which have tests of their own, are taken as they are."""
+    v = signals.hashed_vectors(sentences)
+    n = len(v)
+    if n == 1:
+        return [[0]]
+    raw = v @ v.T
+    sharp = np.array([[0.0 if i == j else 1 / (1 + np.exp(-np.clip((raw[i, j] - raw.mean()) / (raw.std() + 1e-9) / 0.15, -500, 500))) for j in range(n)] for i in range(n)])
+    positive = sharp[sharp > 0]
+    quantile = lambda q, other: float(np.quantile(positive, q)) if len(positive) else other
+    k, floor, most = max(5, min(32, round(n * 0.06))), quantile(0.8, 0.25), max(2, min(16, n // 6))
+    graph = np.zeros((n, n))
+    for i in range(n):
+        for j in sorted((j for j in range(n) if j != i), key=lambda j: (-sharp[i, j], j))[: max(1, min(k, n - 1))]:
+            if sharp[i, j] >= floor:
+                graph[i, j] = graph[j, i] = max(sharp[i, j], graph[i, j])
+    values, vectors = np.linalg.eigh((sharp + sharp.T) / 2)
+    noise = values[: max(0, n - 3)].mean() if n > 3 else 0.0
+    kept = sum((x if i >= n - 3 else noise) * np.outer(vectors[:, i], vectors[:, i]) for i, x in enumerate(values))
+    kept = np.array([[0.0 if i == j else max(kept[i, j], kept[j, i], 0.0) for j in range(n)] for i in range(n)])
+    kept[kept < floor] = 0
+    labels = None
+    if n > 2 and not np.allclose(kept, 0):
+        runs = [x for x in (grouping.communities(kept, r) for r in np.arange(0.7, 1.6 + 1e-9, 0.15)) if 2 <= len(set(x)) <= max(2, min(most, n - 1))]
+        if runs:
+            together = np.array([[0.0 if i == j else sum(x[i] == x[j] for x in runs) / len(runs) for j in range(n)] for i in range(n)])
+            cut = np.quantile([together[i, j] for i in range(n) for j in range(i + 1, n)], 0.5)
+            labels = grouping.spectral(np.where(together >= cut, together, 0.0), most, starts=10, rounds=200)
+            labels = runs[-1] if labels is None else labels
+    labels = grouping.spectral(graph, most) if labels is None else labels
+    found = [list(range(n))] if labels is None else [[i for i in range(n) if labels[i] == c] for c in range(max(labels) + 1)]
+    between = lambda a, b: np.mean([sharp[i, j] for i in a for j in b])
+    within = lambda a: np.mean([sharp[i, j] for i in a for j in a if i != j]) if len(a) > 1 else 1.0
+
+    def halves(g):
+        two = grouping.spectral(graph[np.ix_(g, g)], 2, k=2, seed=1) if len(g) >= 4 else None
+        if two is None or len(set(two)) == 1:
+            return None
+        parts = [[x for x, c in zip(g, two) if c == side] for side in (0, 1)]
+        return parts if between(*parts) < (within(parts[0]) + within(parts[1])) / 2 else None
+
+    cut_up = []
+    for g in (g for g in found if g):
+        parts = halves(g) if len(g) > max(20, n // 4) else None
+        cut_up += parts if parts and min(map(len, parts)) >= 2 else [g]
+    least = max(2, int(np.percentile([len(g) for g in cut_up], 10))) if len(cut_up) >= 5 else 2
+    alive = dict(enumerate(cut_up))
+    for i in sorted(alive):
+        if i in alive and len(alive[i]) < least:
+            gains = [(within(alive[i] + h) - (within(alive[i]) + within(h)) / 2, -j) for j, h in alive.items() if j != i and between(alive[i], h) >= quantile(0.65, 0.38)]
+            if gains and max(gains)[0] > 0:
+                j = -max(gains)[1]
+                alive[j] = sorted(alive[j] + alive.pop(i))
+    found = list(alive.values())
+    means = [within(g) for g in found]
+    low, parts = np.percentile(means, 25) if len(means) >= 2 else 0.0, []
+    for g, mean in zip(found, means):
+        two = halves(g) if len(g) >= 6 and mean < max(0.5, low) else None
+        parts += two if two and min(map(within, two)) > mean else [g]
+    found = []
+    for g in parts:
+        if found and between(found[-1], g) >= max(0.9 * max(1e-6, min(within(found[-1]), within(g))), quantile(0.6, 0.5)):
+            found[-1] = sorted(found[-1] + g)
+        else:
+            found.append(g)
+    if len(found) > 1:
+        delta = positive.std() * 0.1 if len(positive) else 0.02
+        for x in range(n):
+            own = next(c for c, g in enumerate(found) if x in g)
+            mean = lambda g: np.mean([sharp[x, i] for i in g if i != x]) if set(g) - {x} else 0.0  # noqa: B023, E731
+            best, score = own, mean(found[own])
+            for c, g in enumerate(found):
+                if c != own and mean(g) > score + delta:
+                    best, score = c, mean(g)
+            if best != own:
+                found[own].remove(x)
+                found[best].append(x)
+    return sorted(sorted(g) for g in found if g)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_grouping_end_to_end(seed):
+    g = np.random.default_rng(seed + 20)
+    sentences = [" ".join(g.choice([f"t{(k // 3) % (3 + seed)}w{i}" for i in range(9)], 6)) + " common" for k in range((1, 9, 24, 41, 60, 77)[seed])]
+    assert sorted(x["members"] for x in Grouper().groups(sentences)) == plain_groups(sentences)
+
+
 def test_communities_and_spectral_find_blocks():
     w = np.zeros((12, 12))
     for a in (0, 4, 8):
