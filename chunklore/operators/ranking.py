@@ -34,7 +34,7 @@ def scored(chunks: DataFrame, queries: DataFrame, keys: list[str] = KEYS, text:
         side = side.withColumn("q", embedder.counted(embedder.found(F.col("asked"))))
     rows, scores = rows.join(side.drop("asked"), "query_id", "left"), []
     if lexical:
-        matched = F.filter("tokens", lambda t: F.array_contains(F.transform("terms", lambda e: e["token"]), t))
+        matched = F.filter("tokens", lambda t: F.array_contains("wanted", t))
         saturated = lambda f: f * (K1 + 1) / (f + K1 * (1 - B + B * F.size("tokens") / F.col("avgdl")))
         total = lambda m: F.aggregate("terms", F.lit(0.0), lambda s, e: s + e["weight"] * saturated(F.size(F.filter(m, lambda t: t == e["token"]))))
         score = F.transform(F.array(matched), total)[0]
@@ -50,14 +50,18 @@ def _weighted(rows: DataFrame, side: DataFrame) -> DataFrame:
     # a chunk's distinct tokens, and one null with its length: one pass counts terms, chunks and lengths
     term = F.explode(F.concat(F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("token"), F.lit(0).alias("dl"))), F.array(F.struct(F.lit(None).cast("string").alias("token"), F.size("tokens").alias("dl")))))
     counts = rows.select("query_id", term.alias("e")).groupBy("query_id", "e.token").agg(F.count("*").alias("df"), F.sum("e.dl").alias("dl"))
-    corpus = counts.filter("token IS NULL").select("query_id", F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("avgdl"))
-    raw = counts.filter("token IS NOT NULL").join(corpus, "query_id").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    whole = lambda c: F.max(F.when(F.col("token").isNull(), F.col(c)))
+    # no filter by token: it would go down to the chunks, and they would be made twice
+    corpus = counts.groupBy("query_id").agg(whole("df").alias("n"), (whole("dl") / whole("df")).alias("avgdl"))
+    idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    raw = counts.join(corpus, "query_id").withColumn("raw", F.when(F.col("token").isNotNull(), idf))
     # of all tokens only the mean is needed beyond the query's own
     raw = raw.join(side.select("query_id", F.col("asked").alias("own")), "query_id")
     f = F.size(F.filter("own", lambda t: t == F.col("token")))
     of = raw.groupBy("query_id").agg((EPSILON * F.avg("raw")).alias("floor"), F.first("avgdl").alias("avgdl"), F.collect_list(F.when(f > 0, F.struct("token", "raw", f.alias("qf")))).alias("own_terms"))
     weight = lambda e: F.struct(e["token"].alias("token"), (F.when(e["raw"] < 0, F.col("floor")).otherwise(e["raw"]) * e["qf"]).alias("weight"))
-    return side.join(of.select("query_id", "avgdl", F.transform("own_terms", weight).alias("terms")), "query_id", "left")
+    terms = of.select("query_id", "avgdl", F.transform("own_terms", weight).alias("terms"), F.transform("own_terms", lambda e: e["token"]).alias("wanted"))
+    return side.join(terms, "query_id", "left")
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, keys: list[str] = KEYS, text: str = "chunk_text") -> DataFrame:

@@ -19,9 +19,9 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    """Text functions cost far more than reading: a table of fewer splits than cores (one file of one row group can't be split) is dealt by id, any other is read as it lies."""
+    """Text functions cost far more than reading: a table of few splits (one file of one row group can't be split) is dealt by id, any other is read as it lies."""
     docs, cores = table(spark, d, "documents").select("doc_id", "text"), spark.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores, "doc_id")
+    return docs if docs.rdd.getNumPartitions() >= 2 * cores else docs.repartition(cores, "doc_id")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
