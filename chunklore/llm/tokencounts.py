@@ -36,10 +36,10 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer: str = "byte_bpe_50
     stored = f"{cache_path.rstrip('/')}/{version}"
     if not exists(spark, stored):
         spark.createDataFrame([], CACHE).coalesce(1).write.mode("append").parquet(stored)
-    texts = with_text(docs, id_col, text_col).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    texts = with_text(docs, id_col, text_col).withColumn("digest", F.unhex(F.sha2("text", 256))).withColumns({"no_id": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0).cast("long"))})
     # digests alone say what the cache lacks; a text is read again only where it does
-    distinct = texts.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    misses = written(distinct.join(spark.read.schema(CACHE).parquet(stored), "digest", "left_anti").withColumnRenamed("digest", "missed"), "missed-digests")
+    distinct = texts.groupBy("digest").agg(F.min(F.struct("no_id", "id")).alias("first")).select("digest", "first.*")
+    misses = written(distinct.join(spark.read.schema(CACHE).parquet(stored), "digest", "left_anti"), "missed-digests")
 
     def count(batches):
         from .wordcache import encoder
@@ -56,7 +56,8 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer: str = "byte_bpe_50
 
     if not misses.isEmpty():
         # the document with the smallest id speaks for its digest; only its own repeated rows meet it
-        found = texts.join(misses, (F.col("digest") == F.col("missed")) & F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("digest", "doc_id").agg(F.first("text").alias("text"))
+        speaker = ["digest", "no_id", "id"]
+        found = texts.join(misses, speaker).groupBy(*speaker).agg(F.first("text").alias("text"))
         found.select("digest", "text").mapInArrow(count, CACHE).write.mode("append").parquet(stored)
     # once each, whoever else appended; written, so that the join below is of two plain tables and a hot digest's rows can be split
     counts = written(spark.read.schema(CACHE).parquet(stored).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
