@@ -18,6 +18,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -279,35 +280,67 @@ def _sorted(texts: list[bytes], holders: list[int], length: int) -> list[np.ndar
     return [least[a : a + n - length + 1] for a, n in zip(first.tolist(), sizes.tolist(), strict=True)]
 
 
-def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 1024, many_groups: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _texts(table) -> tuple[list[int], list[bytes]]:
+    ids = [NO_ID if x is None else x for x in table.column("doc_id").to_pylist()]
+    return ids, [x.encode("utf-8", "surrogatepass") for x in table.column("text").to_pylist()]
+
+
+def grouped(rows: DataFrame, most_bytes: int, most_rows: int, length: int, buckets: int) -> DataFrame:
+    """doc_id, text, g, chunks: groups of neighbouring rows, closed when they have so many bytes or rows, so that a worker holds so much at a time (or one longer text). The first row of each has the
+    digests of the group's chunks and their smallest documents, by bucket."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("g", pa.int64()), ("chunks", pa.list_(pa.struct([("bucket", pa.int32()), ("blob", pa.binary())])))])
+
+    def closed(parts: list[pa.RecordBatch], g: int) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts)
+        found = Group(*_texts(table), length).smallest
+        data, holder = list(found), np.array(list(found.values()), np.int64)
+        low = np.frombuffer(b"".join(data), np.uint64)[::2]
+        blobs = [{"bucket": b, "blob": _pack(np.frombuffer(b"".join(data[j] for j in at), np.uint8), holder[at])} for b, at in _dealt(low, buckets)]
+        n = table.num_rows
+        columns = [table.column("doc_id").cast(pa.int64()), table.column("text").cast(pa.string()), pa.array(np.full(n, g)), pa.array([blobs] + [[]] * (n - 1), schema.field("chunks").type)]
+        return pa.Table.from_arrays(columns, schema=schema).combine_chunks().to_batches()[0]
+
+    def deal(batches):
+        from pyspark import TaskContext
+
+        g, size, n, parts = TaskContext.get().partitionId() << 32, 0, 0, []
+        for batch in batches:
+            ends = np.cumsum(pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                before = int(ends[at - 1]) if at else 0
+                to = min(int(np.searchsorted(ends, before + most_bytes - size, "right")), at + most_rows - n)
+                to = at + 1 if to <= at and not n else to
+                if to > at:
+                    parts.append(batch.slice(at, to - at))
+                    size, n = size + int(ends[to - 1]) - before, n + to - at
+                if to < batch.num_rows:
+                    yield closed(parts, g)
+                    g, size, n, parts = g + 1, 0, 0, []
+                at = max(at, to)
+        if parts:
+            yield closed(parts, g)
+
+    return rows.mapInArrow(deal, "doc_id long, text string, g long, chunks array<struct<bucket:int,blob:binary>>")
+
+
+def without_repeats(docs: DataFrame, length: int = 50, group_bytes: int = 4 << 20, group_rows: int = 4096, many_groups: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, spans (removed runs of bytes), kept (the bytes that stay).
 
     A byte goes if a string of ``length`` bytes over it also starts in a row with a smaller doc_id; judged on the input. Rows of one
-    doc_id don't remove each other's (``many_groups``: a gram hash in more groups of ``group_rows`` rows is dealt string by string); a null id counts as larger than any. Null text is empty; texts shorter than ``length`` stay whole;
+    doc_id don't remove each other's (``many_groups``: a gram hash in more groups is dealt string by string). Groups hold ``group_bytes`` and ``group_rows`` at most, or one longer text, so that a
+    worker's memory goes with these, and with the longest text. A null id counts as larger than any. Null text is empty; texts shorter than ``length`` stay whole;
     other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     importable(spark)
     buckets = shuffle_parts(spark)
-    rows = with_text(docs, id_col, text_col).withColumn("g", F.expr(f"monotonically_increasing_id() div {group_rows}"))
-    rows = written(rows, "grouped-documents")
-
-    def texts_of(table) -> tuple[list[int], list[bytes]]:
-        ids = [NO_ID if x is None else x for x in table.column("doc_id").to_pylist()]
-        return ids, [x.encode("utf-8", "surrogatepass") for x in table.column("text").to_pylist()]
+    made = written(grouped(with_text(docs, id_col, text_col), group_bytes, group_rows, length, buckets), "grouped-documents")
+    rows = made.select("doc_id", "text", "g")
 
     def of_kind(table: pa.Table, kind: int) -> dict[int, bytes]:
         return {b: x for k, b, x in zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True) if k == kind}
 
-    def digests(batches):
-        for batch in batches:
-            g = batch.column("g").to_numpy()
-            for part in np.split(np.arange(len(g)), np.flatnonzero(np.diff(g)) + 1) if len(g) else ():
-                found = Group(*texts_of(batch.slice(int(part[0]), len(part))), length).smallest
-                data, holder = list(found), np.array(list(found.values()), np.int64)
-                low = np.frombuffer(b"".join(data), np.uint64)[::2]
-                yield _rows([(CHUNKS, b, int(g[part[0]]), _pack(np.frombuffer(b"".join(data[j] for j in at), np.uint8), holder[at])) for b, at in _dealt(low, buckets)])
-
     def held(table: pa.Table) -> pa.Table:
         _trim()
         least: dict[bytes, int] = {}
@@ -329,7 +362,7 @@ def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 1024, m
         _trim()
         if not left.num_rows:
             return pa.Table.from_batches([_rows([])])
-        text, _, _, h = Group(*texts_of(left), length, list(of_kind(right, CHUNKS).values())).open_runs()
+        text, _, _, h = Group(*_texts(left), length, list(of_kind(right, CHUNKS).values())).open_runs()
         pairs = _distinct_pairs(h >> np.uint64(1), text)
         new = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
         several = np.diff(np.append(new, len(pairs))) > 1
@@ -359,7 +392,7 @@ def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 1024, m
         wanted = of_kind(right, HASHES)
         if not left.num_rows or not wanted:
             return pa.Table.from_batches([_rows([])])
-        group = Group(*texts_of(left), length, list(of_kind(right, CHUNKS).values()))
+        group = Group(*_texts(left), length, list(of_kind(right, CHUNKS).values()))
         own = Segments(group, np.concatenate([np.frombuffer(x, np.uint64) for x in wanted.values()]), buckets)
         g = left.column("g")[0].as_py()
         return pa.Table.from_batches([_rows([(SEGMENTS, b, g, _pack(np.array([x for x, _ in keys], np.uint64), np.array([own.smallest[k] for k in keys], np.int64), np.array([len(x) for _, x in keys], np.uint32), np.frombuffer(b"".join(x for _, x in keys), np.uint8))) for b, keys in own.parts])])
@@ -390,7 +423,7 @@ def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 1024, m
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         _trim()
-        group = Group(*texts_of(left), length, list(of_kind(right, CHUNKS).values()))
+        group = Group(*_texts(left), length, list(of_kind(right, CHUNKS).values()))
         ids, texts = group.ids, group.texts
         marks: dict[int, list[np.ndarray]] = {}
         for i, a, b in group.settled:
@@ -422,7 +455,8 @@ def without_repeats(docs: DataFrame, length: int = 50, group_rows: int = 1024, m
 
     kind = "kind int, bucket int, g long, blob binary"
     by_group = rows.groupBy("g")
-    holders = written(rows.mapInArrow(digests, kind).groupBy("bucket").applyInArrow(held, kind), "chunk-holders")
+    dealt = made.select("g", F.explode("chunks").alias("c")).select(F.lit(CHUNKS).alias("kind"), "c.bucket", "g", "c.blob")
+    holders = written(dealt.groupBy("bucket").applyInArrow(held, kind), "chunk-holders")
     again = written(by_group.cogroup(holders.groupBy("g")).applyInArrow(hashes, kind).groupBy("bucket").applyInArrow(repeated, kind), "repeated-hashes")
     answers = written(by_group.cogroup(holders.unionByName(again).groupBy("g")).applyInArrow(sent, kind).groupBy("bucket").applyInArrow(sorted_, kind), "segment-holders")
     return by_group.cogroup(holders.unionByName(answers).groupBy("g")).applyInArrow(cut, RESULT)

@@ -1,8 +1,9 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in whole-array steps.
 
-Suffixes are classified, the leftmost-smaller (LMS) substrings are sorted by one induction and named, names are ordered by recursion, and a second
-induction orders all suffixes. An induction goes through the buckets of the first byte once from each side; of each bucket a
-whole front of suffixes is handled at a time, so every suffix is moved once a pass.
+Suffixes are classified, the leftmost-smaller (LMS) substrings are sorted by one induction and named, the names are ordered by recursion, and a second
+induction orders all suffixes. An induction goes through the buckets of the first symbol once from each side, as many buckets at a time as
+induce nothing into each other: with a large alphabet, as names are, these are many, with bytes few. What a bucket induces into itself are runs of its symbol, which are put in place at
+once. So every suffix is moved once a pass.
 """
 
 from __future__ import annotations
@@ -21,79 +22,114 @@ def classify(t: np.ndarray) -> np.ndarray:
     return s
 
 
-def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """All suffixes from LMS suffixes in the order given: ordered by them. size: of each byte's bucket."""
-    n = len(t)
-    end = np.cumsum(size)
-    head = end - size
-    begin = head.copy()
-    n_large = np.bincount(t[~s], minlength=len(size))
-    sa = np.full(n, -1, np.int64)
-    by_byte = np.argsort(t[lms], kind="stable")
-    lms_sorted = lms[by_byte]
-    lms_at = np.searchsorted(t[lms_sorted], np.arange(len(size) + 1))
-    present = np.flatnonzero(size)
+def _runs(t: np.ndarray) -> np.ndarray:
+    """How many equal symbols stand right before each place."""
+    place = np.arange(len(t))
+    return place - np.maximum.accumulate(np.where(np.append(True, t[1:] != t[:-1])[: len(t)], place, 0))
 
-    def put_large(front: np.ndarray) -> None:
-        front = front[front > 0] - 1
-        front = front[~s[front]]
-        if len(front):
-            c = t[front]
-            order = np.argsort(c, kind="stable")
-            front, c = front[order], c[order]
-            many = np.bincount(c, minlength=len(size))
-            rank = np.arange(len(c)) - np.repeat(np.cumsum(many) - many, many)
-            sa[head[c] + rank] = front
-            np.add(head, many, out=head)
-
-    # the empty suffix, smallest of all, induces the last one
-    put_large(np.array([n]))
-    for c in present:
-        at = begin[c]
-        while at < head[c]:  # those of this bucket may bring more of this bucket
-            to = int(head[c])
-            put_large(sa[at:to])
-            at = to
-        put_large(lms_sorted[lms_at[c] : lms_at[c + 1]])
 
-    tail = end.copy()
+def _chain(seeds: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """What the seeds, in their order, induce into their own bucket: the places before them in runs of its symbol, nearest first."""
+    r = run[seeds]
+    step = np.arange(int(r.sum())) - np.repeat(np.cumsum(r) - r, r) + 1
+    return (np.repeat(seeds, r) - step)[np.argsort(step, kind="stable")]
 
-    def put_small(front: np.ndarray) -> None:
-        """front: from the largest down."""
-        front = front[front > 0] - 1
-        front = front[s[front]]
-        if len(front):
-            c = t[front]
-            order = np.argsort(c, kind="stable")
-            front, c = front[order], c[order]
-            many = np.bincount(c, minlength=len(size))
-            rank = np.arange(len(c)) - np.repeat(np.cumsum(many) - many, many)
-            sa[tail[c] - 1 - rank] = front
-            np.subtract(tail, many, out=tail)
-
-    for c in present[::-1]:
-        at = int(end[c])
-        while at > tail[c]:
-            to = int(tail[c])
-            put_small(sa[to:at][::-1])
-            at = to
-        put_small(sa[begin[c] : begin[c] + n_large[c]][::-1])
-    return sa
+
+def _grouped(to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order by bucket, the rank of each within its own, the buckets, and how many each gets."""
+    order = np.argsort(to, kind="stable")
+    ordered = to[order]
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(to)])
+    many = np.diff(np.append(first, len(to)))
+    return order, np.arange(len(to)) - np.repeat(first, many), ordered[first], many
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """Order of the suffixes of names by doubling: where a recursion would not shrink."""
-    rank, step, n = names.astype(np.int64), 1, len(names)
-    while True:
-        follow = np.zeros(n, np.int64)
-        follow[: max(0, n - step)] = rank[step:] + 1
-        order = np.lexsort((follow, rank))
-        new = np.concatenate([[0], np.cumsum((np.diff(rank[order]) != 0) | (np.diff(follow[order]) != 0))])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if n == 0 or new[-1] == n - 1:
-            return order
-        step *= 2
+def _induce(t: np.ndarray, s: np.ndarray, lms: np.ndarray, size: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """All suffixes from LMS suffixes in the order given: ordered by them. size: of each symbol's bucket; run: _runs(t)."""
+    n, end = len(t), np.cumsum(size)
+    begin = end - size
+    sa = np.full(n, -1, np.int64)
+    present = np.flatnonzero(size)
+    lms = lms[np.argsort(t[lms], kind="stable")]
+    lms_at = np.searchsorted(t[lms], np.arange(len(size) + 1))
+
+    # L suffixes, from the smallest bucket up; of a bucket the L ones come before the LMS ones
+    head = begin.copy()
+
+    def put_large(p: np.ndarray) -> None:
+        if len(p):
+            order, rank, to, many = _grouped(t[p])
+            sa[np.repeat(head[to], many) + rank] = p[order]
+            head[to] += many
+
+    put_large(np.array([n - 1]))  # the empty suffix, smallest of all, induces the last one
+    k, width = 0, 1
+    while k < len(present):
+        stop = min(k + width, len(present))
+        c, last = present[k], present[stop - 1]
+        large, small = sa[begin[c] : end[last]], lms[lms_at[c] : lms_at[last + 1]]
+        large = large[large >= 0]
+        e = np.concatenate([large, small])
+        if stop - k > 1:
+            e = e[np.argsort(2 * t[e] + (np.arange(len(e)) >= len(large)), kind="stable")]
+        e = e[e > 0]
+        e = e[~s[e - 1]]
+        p = e - 1
+        to = t[p]
+        inside = to <= last
+        if not inside.any():
+            put_large(p)
+            k, width = stop, min(2 * width, 1 << 14)
+            continue
+        least = to[inside].min()
+        if least > c:  # buckets before that one are whole
+            put_large(p[t[e] < least])
+            k, width = int(np.searchsorted(present, least)), max(1, width // 2)
+            continue
+        chain = _chain(sa[begin[c] : head[c]], run)
+        sa[head[c] : head[c] + len(chain)] = chain
+        head[c] += len(chain)
+        e = np.concatenate([sa[begin[c] : head[c]], lms[lms_at[c] : lms_at[c + 1]]])
+        p = e[e > 0] - 1
+        put_large(p[~s[p] & (t[p] != c)])
+        k, width = k + 1, max(1, width // 2)
+
+    # S suffixes, from the largest bucket down; of a bucket the S ones come before, from above, the L ones
+    tail = end.copy()
+
+    def put_small(p: np.ndarray) -> None:
+        if len(p):
+            order, rank, to, many = _grouped(t[p])
+            sa[np.repeat(tail[to], many) - 1 - rank] = p[order]
+            tail[to] -= many
+
+    k, width = len(present) - 1, 1
+    while k >= 0:
+        stop = max(k - width + 1, 0)
+        c, last = present[k], present[stop]
+        e = sa[begin[last] : end[c]]
+        e = e[e > 0][::-1]
+        e = e[s[e - 1]]
+        p = e - 1
+        to = t[p]
+        inside = to >= last
+        if not inside.any():
+            put_small(p)
+            k, width = stop - 1, min(2 * width, 1 << 14)
+            continue
+        most = to[inside].max()
+        if most < c:
+            put_small(p[t[e] > most])
+            k, width = int(np.searchsorted(present, most)), max(1, width // 2)
+            continue
+        chain = _chain(sa[tail[c] : end[c]][::-1], run)
+        sa[tail[c] - len(chain) : tail[c]] = chain[::-1]
+        tail[c] -= len(chain)
+        e = sa[begin[c] : end[c]]
+        p = e[e > 0][::-1] - 1
+        put_small(p[s[p] & (t[p] != c)])
+        k, width = k - 1, max(1, width // 2)
+    return sa
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -102,10 +138,10 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     n = len(t)
     if n < 2:
         return np.arange(n)
-    s = classify(t)
+    s, run = classify(t), _runs(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
     size = np.bincount(t)
-    sa = _induce(t, s, lms, size)
+    sa = _induce(t, s, lms, size, run)
     if len(lms) < 2:
         return sa
     is_lms = np.zeros(n + 1, bool)
@@ -127,17 +163,8 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     names[order] = np.concatenate([[0], np.cumsum(~same)])
     reduced = names[lms]
     most = int(reduced.max()) + 1
-    if most == len(lms):
-        ranked = np.argsort(reduced)
-    else:
-        width = 1 if most <= 256 else 2 if most <= 65536 else 3 if most <= 1 << 24 else 8
-        if 4 * width * len(lms) >= 3 * n:
-            ranked = _doubled(reduced)
-        else:  # names as bytes of one width: the same order, in an alphabet of bytes again
-            wide = np.stack([reduced >> (8 * (width - 1 - i)) & 255 for i in range(width)], 1).ravel()
-            ranked = suffix_array(wide)
-            ranked = ranked[ranked % width == 0] // width
-    return _induce(t, s, lms[ranked], size)
+    ranked = np.argsort(reduced) if most == len(lms) else suffix_array(reduced)
+    return _induce(t, s, lms[ranked], size, run)
 
 
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:

@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chunklore.llm import repeats
+from chunklore.llm import repeats, suffixarray
 from chunklore.llm.queries import op6_suffix_array_repeats
 from chunklore.llm.suffixarray import permuted_prefixes, suffix_array
 
@@ -25,6 +25,51 @@ def test_suffix_array_and_prefixes(part, times):
             assert prefix[b] == n
 
 
+def order_by_doubling(t):
+    rank, step = np.unique(t, return_inverse=True)[1], 1
+    while len(set(rank.tolist())) < len(t):
+        follow = np.append(rank[step:], np.full(min(step, len(t)), -1))
+        rank = np.unique(np.stack([rank, follow], 1), axis=0, return_inverse=True)[1].ravel()
+        step *= 2
+    return np.argsort(rank).tolist()
+
+
+def test_names_are_ordered_by_recursion(monkeypatch):
+    """Every level sorts the names of the one above by the same induction, down to names that are all different."""
+    levels = []
+    inner = suffixarray.suffix_array
+    monkeypatch.setattr(suffixarray, "suffix_array", lambda t: (levels.append((len(t), int(t.max()) + 1)), inner(t))[1])
+    words, deepest = " ".join(cases.prose(i, 60) for i in range(120)).encode(), 0
+    g = np.random.default_rng(3)
+    for t in (np.frombuffer(words, np.uint8).astype(np.int64), np.tile(g.integers(0, 300, 97), 60), g.integers(0, 4, 30_000), np.repeat(g.integers(0, 9, 300), g.integers(1, 90, 300))):
+        levels.clear()
+        assert suffixarray.suffix_array(t).tolist() == order_by_doubling(t)
+        sizes = [n for n, _ in levels]
+        deepest = max(deepest, len(sizes))
+        assert all(2 * b <= a for a, b in zip(sizes, sizes[1:]))
+    assert deepest >= 3
+
+
+@pytest.mark.parametrize("text", [b"a" * 50_000, b"ab" * 25_000, b"abcabd" * 9_000])
+def test_periodic_texts_are_no_exception(text):
+    t = np.frombuffer(text, np.uint8).astype(np.int64)
+    assert suffix_array(t).tolist() == order_by_doubling(t)
+
+
+def test_texts_of_a_megabyte(spark):
+    """Long texts that share long passages, alone in their groups, against sets of strings."""
+    g = np.random.default_rng(9)
+    made = lambda n: "".join(g.choice(list("abcdefghij "), n))
+    shared, rows = made(200_000), []
+    for i in range(3):
+        rows.append((i, made(400_000) + shared + made(300_000) + "-" * 100_000))
+    rows += [(10, shared[5:90]), (11, "-" * 60), (12, made(300))]
+    found = {r.doc_id: r for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i].n_removed for i in (10, 11, 12)] == [85, 60, 0] and found[0].n_removed == 0
+    for i in (1, 2):
+        assert [(s.end - s.start) // 1000 for s in found[i].spans] == [200, 100] and found[i].n_bytes == 1_000_000
+
+
 def plain(rows, length):
     first = {}
     big = 1 << 63
@@ -49,7 +94,7 @@ def result(df):
 
 
 def test_odd_rows(spark):
-    assert result(repeats.without_repeats(cases.frame(spark), group_rows=3)) == plain([(r[0], r[1]) for r in cases.rows()], 50)
+    assert result(repeats.without_repeats(cases.frame(spark), group_rows=3, group_bytes=900)) == plain([(r[0], r[1]) for r in cases.rows()], 50)
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -62,7 +107,7 @@ def test_shared_passages(spark, seed):
         x, y = rng.integers(0, 300, 2)
         rows.append((int(rng.integers(0, 40)), base[a][x : x + 90] + "".join(rng.choice(list("xyz"), 20)) + base[b][y : y + int(rng.integers(20, 100))]))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert result(repeats.without_repeats(docs, group_rows=7, many_groups=[64, 1, 3][seed])) == plain(rows, 50)
+    assert result(repeats.without_repeats(docs, group_rows=7, group_bytes=[1 << 20, 400, 1][seed], many_groups=[64, 1, 3][seed])) == plain(rows, 50)
 
 
 def test_pieces_and_blocks_do_not_matter(spark, monkeypatch):
