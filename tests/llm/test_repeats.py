@@ -121,6 +121,37 @@ def test_pieces_and_blocks_do_not_matter(spark, monkeypatch):
     assert {(i, x) for i, x, _ in got} == {(i, x) for i, t in enumerate(texts) for x in range(len(t) - 49)}
 
 
+def test_texts_are_sent_by_no_shuffle(spark):
+    """Groups lie in buckets: of a step's two inputs only what is addressed to groups goes through a shuffle."""
+    docs = spark.createDataFrame([(i, cases.prose(i % 7, 80)) for i in range(30)], "doc_id long, text string")
+    plan = repeats.without_repeats(docs, group_rows=4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(g#") == 1 and "Bucketed: true" in plan
+
+
+def test_chance_grams_are_not_sent(spark):
+    """Words of a small vocabulary, as in a large corpus: phrases of 16 bytes and more come again in most groups, strings of 50 bytes don't. No segments are sent for them."""
+    g = np.random.default_rng(8)
+    rows = [(i, " ".join(g.choice(["of the", "and that", "to all", "in this", "by some", "at his", "from it", "as her"], 60))) for i in range(48)]
+    texts = [t.encode() for _, t in rows]
+    several = lambda n: np.mean([sum(t[k : k + n] in x for x in texts) > 1 for t in texts for k in range(0, len(t) - 50, 25)])
+    assert several(16) > 0.9 and several(50) < 0.05
+    text, first, last, h = repeats.runs(texts, 50)
+    again = {x for x in h.tolist() if len(set(text[h == x].tolist())) > 1}
+    assert sum(x in again for x in h.tolist()) < 0.4 * len(h)
+    values = repeats.marked(np.array([5, 9, 9, 9, 9, 12, 12], np.uint64), np.array([0, 1, 2, 3, 4, 6, 6]))
+    assert [(int(x) >> repeats.SPARE, int(x) >> 1 & 15, int(x) & 1) for x in values] == [(5, 0, 0), (9, 2, 1), (12, 1, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(repeats.without_repeats(docs, group_rows=1, many_groups=20)) == plain(rows, 50)
+
+
+def test_hashes_of_many_groups_with_few_runs_stay_whole():
+    """A hash is dealt string by string for the memory that its segments need, not for the number of groups alone, which grows with the corpus."""
+    one = repeats.marked(np.array([7], np.uint64), np.array([0]))
+    full = repeats.marked(np.full(40_000, 7, np.uint64), np.arange(40_000))
+    hot = lambda values: (repeats.met_again(np.concatenate(values), np.arange(len(values)), 256)[0] & np.uint64(1)).tolist()
+    assert hot([one]) == [] and hot([one] * 5000) == [0] * 5000 and hot([one] * 40_000) == [1] * 40_000 and hot([full, full, one]) == [1] * 3
+
+
 def test_no_rows(spark):
     assert repeats.without_repeats(cases.empty(spark)).count() == 0
 
