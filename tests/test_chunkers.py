@@ -293,6 +293,17 @@ def test_grouping_end_to_end(seed):
     assert sorted(x["members"] for x in Grouper().groups(sentences)) == plain_groups(sentences)
 
 
+@pytest.mark.parametrize("n", [3, 17, 60, 230])
+def test_communities_move_alike_by_neighbours_and_by_rows(n):
+    g = np.random.default_rng(n)
+    for resolution in (0.4, 0.7, 1.0, 1.6):
+        w = np.where(g.random((n, n)) < 0.3, np.round(g.random((n, n)), 1 + n % 3), 0.0)
+        w = np.maximum(w, w.T)
+        degree = w.sum(1)
+        by = [grouping._moved(w, degree, degree.sum(), resolution, most) for most in (-1, 20, n)]
+        assert all(x.tolist() == by[0][0].tolist() and y == by[0][1] for x, y in by[1:])
+
+
 def test_communities_and_spectral_find_blocks():
     w = np.zeros((12, 12))
     for a in (0, 4, 8):

@@ -95,6 +95,15 @@ def test_configurations_are_their_chunkers(spark, sf):
             assert {(r.doc_id, r.chunk_index, r.chunk_id, r.chunk_text) for r in chunking.written_form(alone).collect()} == rows[config.name]
 
 
+def test_configurations_clean_every_text_once(spark):
+    """The last rule of each part of the cleaning stands once in the plan of a run, however often its result is used."""
+    docs = spark.createDataFrame([(1, "(A) One two three. (B) Four five six seven."), (2, "This document has no information. "), (3, None)], "doc_id long, text string")
+    out = registry.run(docs, registry.chosen("text_splitter_char_naive"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Here is a report by ([^:]+)") == 1 and plan.count("and\\.") == 1
+    assert {r.doc_id for r in out.collect()} == {1}
+
+
 def test_entry(spark):
     out = e.entry(spark)
     assert out.count() > 0 and set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
