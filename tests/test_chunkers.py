@@ -1,11 +1,13 @@
 """The numerical chunkers against plain versions written here, and what must always hold of their results."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chunklore.operators import grouping, signals
+from chunklore.operators import byrows, grouping, signals
 from chunklore.operators.contiguous import Splitter, split
 from chunklore.operators.grouping import Grouper, group
 from chunklore.plans import registry
@@ -158,6 +160,54 @@ def test_groups_reach_over_all_of_a_long_document():
     assert any(min(g["members"]) < 100 and max(g["members"]) >= 1500 for g in found)  # themes come again after 1,000 sentences
 
 
+def test_groups_reach_over_documents_of_any_length():
+    """4,200 sentences, more than one matrix takes: themes come again in the last ones, behind any stretch of 4,096."""
+    found = Grouper(auto=False, engine="spectral", knn=6, edge_floor=0.5).groups(long_document(4200, 20))
+    assert sorted(i for g in found for i in g["members"]) == list(range(4200))
+    assert any(min(g["members"]) < 100 and max(g["members"]) >= 4100 for g in found)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_groups_by_rows_are_made_of_what_the_matrix_gives(seed, monkeypatch):
+    monkeypatch.setattr(byrows, "CELLS", 1000)
+    g = np.random.default_rng(seed)
+    v = signals.hashed_vectors([" ".join(g.choice([f"t{k % (3 + seed)}w{i}" for i in range(30)], 8)) for k in range(90)])
+    a, b = grouping._Whole(v, 0.15), byrows.Rows(v, 0.15)
+    assert np.allclose(a.quantiles(0.2, 0.6, 0.8), b.quantiles(0.2, 0.6, 0.8), rtol=1e-9) and abs(a.spread() - b.spread()) < 1e-9
+    assert np.allclose(a.centrality, b.centrality) and np.allclose([a.row(x) for x in range(90)], [b.row(x) for x in range(90)])
+    floor = a.quantiles(0.8)[0] + 1e-6
+    x, y = a.filtered(3, floor), b.filtered(3, floor)
+    assert np.allclose(x, y.rows(0, 90), atol=1e-8) and np.allclose(x.sum(1), y.sum(1))
+    edges = b.nearest(6, floor)
+    assert np.allclose(a.nearest(6, floor), edges.dense()) and (edges.within([5, 1, 40, 80, 3]).dense() == edges.dense()[np.ix_([5, 1, 40, 80, 3], [5, 1, 40, 80, 3])]).all()
+    assert abs(a.total([1, 5, 9], [5, 6, 70, 2]) - b.total([1, 5, 9], [5, 6, 70, 2])) < 1e-9
+    for resolution in (0.7, 1.0, 1.6):
+        assert (grouping.communities(x, resolution) == grouping.communities(y, resolution)).all()
+        degree = x.sum(1)
+        own, moved = grouping._moved(x, degree, degree.sum(), resolution)
+        assert (np.unique(own, return_inverse=True)[1] == grouping._moved_by_rows(x, degree, degree.sum(), resolution)[0]).all() and moved
+    runs = [np.unique(g.integers(0, k, 90) if k > 5 else np.arange(90) * k // 90, return_inverse=True)[1] for k in (2, 3, 4, 2 + 5 * seed)]
+    for q in (0.3, 0.5, 0.9):
+        share = np.mean([r[:, None] == r for r in runs], axis=0)
+        np.fill_diagonal(share, 0.0)
+        cut = np.quantile(share[np.triu_indices(90, 1)], q)
+        kept, together = np.where(share >= cut, share, 0.0), byrows.Together(runs, q)
+        assert abs(together.cut - cut) < 1e-12
+        values, vectors = together.lowest(12)
+        assert np.allclose(values, np.linalg.eigvalsh(grouping.laplacian(kept))[:12])
+        assert np.allclose(grouping.laplacian(kept) @ vectors, vectors * values) and np.allclose(vectors.T @ vectors, np.eye(12))
+    values, vectors = edges.lowest(8)
+    assert np.allclose(values, np.linalg.eigvalsh(grouping.laplacian(edges.dense()))[:8]) and np.allclose(grouping.laplacian(edges.dense()) @ vectors, vectors * values, atol=1e-6)
+
+
+def test_groups_by_rows_find_the_themes_that_the_matrix_finds():
+    g = np.random.default_rng(5)
+    sentences = [" ".join(g.choice([f"t{k // 10 % 4}w{i}" for i in range(12)], 8)) for k in range(240)]
+    for how in (Grouper(), Grouper(auto=False, engine="spectral", knn=6, edge_floor=0.5)):
+        whole, rows = how.groups(sentences), replace(how, whole_matrix=8).groups(sentences)
+        assert sorted(x["members"] for x in whole) == sorted(x["members"] for x in rows)
+
+
 def plain_split(sentences):
     """The automatic splitter end to end, in plain loops: what its parts are put together to."""
     v = signals.hashed_vectors(sentences)
