@@ -354,6 +354,17 @@ def test_communities_move_alike_by_neighbours_and_by_rows(n):
         assert all(x.tolist() == by[0][0].tolist() and y == by[0][1] for x, y in by[1:])
 
 
+def test_communities_of_many_graphs_side_by_side_are_those_of_each():
+    g = np.random.default_rng(3)
+    asked = []
+    for n in (1, 2, 7, 40, 41, 150):
+        w = np.where(g.random((n, n)) < 0.4, np.round(g.random((n, n)), 2), 0.0)
+        w[: n // 5] = w[:, : n // 5] = 0  # no neighbours
+        asked += [(np.maximum(w, w.T), r) for r in (0.4, 1.0, 1.6)]
+    for cells in (1, 300, 1 << 14):
+        assert [x.tolist() for x in grouping.communities_of(asked, cells)] == [grouping.communities(w, r).tolist() for w, r in asked]
+
+
 def test_communities_and_spectral_find_blocks():
     w = np.zeros((12, 12))
     for a in (0, 4, 8):

@@ -104,6 +104,16 @@ def test_configurations_clean_every_text_once(spark):
     assert {r.doc_id for r in out.collect()} == {1}
 
 
+def test_configurations_of_a_kind_share_one_pass(spark, sf):
+    """Sentences go to the groupers once and to the splitters once, and shared steps change nothing."""
+    out = registry.run(spark.read.parquet(f"{sf}/documents.parquet"), registry.chosen())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("run(group_sentences") == 1 and plan.count("run(split_sentences") == 1
+    documents = list(sentences_of(spark, sf, cleaning.grouping_preclean).values())[:30]
+    groupers = [c.how for c in registry.chosen() if isinstance(c.how, grouping.Grouper)]
+    assert grouping.grouped(groupers, documents, 3000) == [[how.groups(x) for how in groupers] for x in documents]
+
+
 def test_entry(spark):
     out = e.entry(spark)
     assert out.count() > 0 and set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
