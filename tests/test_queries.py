@@ -104,6 +104,15 @@ def test_configurations_clean_every_text_once(spark):
     assert {r.doc_id for r in out.collect()} == {1}
 
 
+def test_group_map_has_the_groups_of_each_document_alone(spark, sf):
+    """Documents are grouped many at a time; each gets what it gets alone."""
+    found = {}
+    for r in QUERIES["group_map"](spark, sf).filter("doc_id < 60").collect():
+        found.setdefault(r.doc_id, set()).add(r.sent_indices)
+    sentences = {d: x for d, x in sentences_of(spark, sf, cleaning.grouping_preclean).items() if d < 60 and x}
+    assert found == {d: {",".join(map(str, g["members"])) for g in grouping.Grouper().groups(x)} for d, x in sentences.items()}
+
+
 def test_configurations_of_a_kind_share_one_pass(spark, sf):
     """Sentences go to the groupers once and to the splitters once, and shared steps change nothing."""
     out = registry.run(spark.read.parquet(f"{sf}/documents.parquet"), registry.chosen())
